@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.feeds import current
 from ..plans.registry import Registry, table
+from ..session import cut
 from . import tokenizer
+from .addresses import same_building
 from .components import components
+from .matching import link_to_masters, match
+from .records import take_apart
 
 R = Registry()
 REGISTRIES = [R]
@@ -67,3 +72,62 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as its list of token ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenizer.encode(docs).select("doc_id", "ids")
+
+
+VENDOR = ("display_name", "email", "phone", "ein", "street_address", "city", "state", "zip")
+
+
+def live_vendors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Current rows of the vendors."""
+    return current(spark, sf_dir, "staged_vendors", "vendor_id", *VENDOR, *more)
+
+
+@R.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of live vendors at one building."""
+    return same_building(vendor_records(spark, sf_dir), "vendor_id")
+
+FIELDS = ("display_name", "email", "phone", "ein", "street_address", "city", "state", "zip")
+
+
+def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return take_apart(live_vendors(spark, sf_dir), *FIELDS, ["vendor_id"])
+
+
+def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return take_apart(table(spark, sf_dir, "staged_customers"), *FIELDS, ["customer_id"])
+
+
+@R.query("p2_matches")
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors and customers that are the same, each with its confidence."""
+    return match(vendor_records(spark, sf_dir), customer_records(spark, sf_dir), "vendor_id", "customer_id")
+
+
+@R.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a live vendor and a customer that are the same business or person."""
+    return p2_matches(spark, sf_dir).select("vendor_id", "customer_id")
+
+
+def listed(golden: DataFrame) -> DataFrame:
+    """Golden records with each record id they list: golden_record_id, kind (v or c), record_id."""
+    ids = F.explode(F.from_json(F.lower("source_records"), "array<string>")).alias("s")
+    s = F.trim("s", F.lit(BLANKS))
+    rows = golden.select("golden_record_id", ids).select("golden_record_id", s.alias("s")).filter(F.col("s").rlike("^[vc]-[0-9]{1,18}$"))
+    return rows.select("golden_record_id", F.substring("s", 1, 1).alias("kind"), F.expr("substring(s, 3)").cast("long").alias("record_id")).distinct()
+
+
+@R.query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that no golden record lists, with each golden record of their business or person."""
+    golden = table(spark, sf_dir, "golden_records")
+    inside = cut(listed(golden).select("kind", "record_id").distinct())
+    v = live_vendors(spark, sf_dir).join(inside.filter("kind = 'v'"), F.col("vendor_id") == F.col("record_id"), "left_anti")
+    c = table(spark, sf_dir, "staged_customers").join(inside.filter("kind = 'c'"), F.col("customer_id") == F.col("record_id"), "left_anti")
+    rows = v.select(F.concat(F.lit("vendor:"), "vendor_id").alias("_id"), *FIELDS).unionByName(c.select(F.concat(F.lit("customer:"), "customer_id").alias("_id"), *FIELDS))
+    names = F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce(F.from_json("name_variants", "array<string>"), F.array().cast("array<string>")))))
+    g = golden.select("golden_record_id", names.alias("display_name"), "email", F.col("phone_digits").alias("phone"), "ein", "street_address", "city", "state", F.col("zip5").alias("zip"))
+    found = link_to_masters(take_apart(rows, *FIELDS, ["_id"]), take_apart(g, *FIELDS, ["golden_record_id"]), "_id", "golden_record_id")
+    kind = F.substring_index("_id", ":", 1)
+    return found.select(kind.alias("record_type"), F.substring_index("_id", ":", -1).cast("long").alias("record_id"), "golden_record_id")
