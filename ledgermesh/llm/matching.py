@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .names import variants
+from .names import given_names_agree, variants, weak
 
 #: Log odds of the evidence on a pair of profiles whose names are variants.
 PRIOR, NAME, TOWN, STATE, EIN, PHONE, MAIL, HOUSE = -1.0, 2.5, 3.0, 0.7, 2.5, 1.5, 0.5, 2.0
@@ -67,62 +67,75 @@ def believe(pairs: DataFrame, rounds: int = 12, settled: float = 0.01) -> DataFr
     return state.withColumn("p", 1 / (1 + F.exp(-(F.col("prior") + F.col("ml") + F.col("mr")))))
 
 
+def _profile(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_p", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in PROFILE]))
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of profiles whose names link, with both sides' fields and sim.
+
+    Names link as variants of each other (names.variants), or weakly - one is a part, the
+    initials or a worse misspelling of the other - where the profiles share an EIN, a
+    phone number or an e-mail name.
+    """
+    def profiles(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select(F.col("_p").alias(side), *[F.col(c).alias(f"{side}{c}") for c in PROFILE]).distinct()
+
+    def keyed(rows: DataFrame, side: str) -> DataFrame:
+        keys = F.explode(F.array_compact(F.array(*[F.concat(F.lit(k), c) for k, c in (("e", "_ein"), ("p", "_phone"), ("m", "_mail"))])))
+        return rows.select(F.col("_p").alias(side), F.col("_name").alias(f"{side}_name"), keys.alias("key")).distinct()
+
+    nl, nr = names_of(left), names_of(right)
+    strong = variants(nl, nr).select(F.col("l").alias("l_name"), F.col("r").alias("r_name"), "sim")
+    pl, pr = cut(profiles(left, "l")), cut(profiles(right, "r"))
+    sure = strong.join(pl.select("l", "l_name"), "l_name").join(pr.select("r", "r_name"), "r_name").select("l", "r", "sim")
+    kl, kr = cut(keyed(left, "l")), cut(keyed(right, "r"))
+    pairs = kl.select("l_name", "key").distinct().join(kr.select("r_name", "key").distinct(), "key")
+    cols = lambda d, s: d.select(F.col("n").alias(f"{s}_name"), *[F.col(c).alias(f"{s}_{c}") for c in ("core", "firsts", "initial")])
+    loose = pairs.join(cols(nl, "l"), "l_name").join(cols(nr, "r"), "r_name")
+    agree = given_names_agree("l_", "r_") | (F.size("l_core") > 1) | (F.size("r_core") > 1)
+    loose = cut(loose.filter(agree).filter(weak("l_core", "r_core")).select("l_name", "r_name", "key"))
+    held = loose.join(kl, ["l_name", "key"]).join(kr, ["r_name", "key"]).select("l", "r", F.lit(0.7).alias("sim"))
+    met = sure.unionByName(held).groupBy("l", "r").agg(F.max("sim").alias("sim"))
+    return met.join(pl, "l").join(pr, "r")
+
+
 def match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least: float = 0.7) -> DataFrame:
     """Pairs of records of two sources that are the same business or person, with confidence.
 
     left and right come from records.take_apart. Their distinct profiles (name words,
-    town, state, numbers) are paired where the names are variants of each other,
-    weighed by the agreeing and contradicting fields and settled by belief propagation;
-    pairs of at least `least` marginal probability are given for all their records.
+    town, state, numbers) are paired by candidates(), weighed by the agreeing and
+    contradicting fields and settled by belief propagation; pairs of at least `least`
+    marginal probability are given for all their records.
 
     * profiles in different known towns, and persons of different given names, never match
     * a record without town whose name is used in several towns stays open (p about a half)
     * missing fields (null, blank, fillers) say nothing; records without a name match nothing
     * repeated rows share a profile; empty inputs give no rows
     """
-    left, right = cut(named(left)), cut(named(right))
-    links = cut(variants(names_of(left), names_of(right)))
-
-    def profiles(rows: DataFrame, side: str) -> DataFrame:
-        key = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in PROFILE])
-        return rows.select(key.alias(side), *[F.col(c).alias(f"{side}{c}") for c in PROFILE]).distinct()
-
-    pl, pr = profiles(left, "l"), profiles(right, "r")
-    met = links.select(F.col("l").alias("l_name"), F.col("r").alias("r_name"), "sim").join(pl, "l_name").join(pr, "r_name")
-    prior = met.select("l", "r", "l_town", "r_town", _evidence().alias("prior")).filter("prior > -6")
+    left, right = cut(_profile(named(left))), cut(_profile(named(right)))
+    prior = candidates(left, right).select("l", "r", "l_town", "r_town", _evidence().alias("prior")).filter("prior > -6")
     sure = cut(believe(prior).filter(F.col("p") >= least).select("l", "r", F.round("p", 4).alias("confidence")))
-
-    def ids(rows: DataFrame, side: str, ident: str) -> DataFrame:
-        key = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\0")) for c in PROFILE])
-        return rows.select(key.alias(side), F.col(ident)).distinct()
-
-    out = sure.join(ids(left, "l", left_id), "l").join(ids(right, "r", right_id), "r")
+    out = sure.join(left.select(F.col("_p").alias("l"), left_id).distinct(), "l").join(right.select(F.col("_p").alias("r"), right_id).distinct(), "r")
     return out.groupBy(left_id, right_id).agg(F.max("confidence").alias("confidence"))
 
 
 def link_to_masters(rows: DataFrame, masters: DataFrame, row_id: str, master_id: str) -> DataFrame:
     """Each record with all master records of its business or person: row_id, master_id.
 
-    Names link by names.variants. Of the places that a name's masters are in, a record
-    belongs to its own town, and without a town to the only one there is (in its state,
-    if it has one); a master without a town counts where the name has no other.
+    Profiles are paired by candidates(). Of the places that a name's masters are in, a
+    record belongs to its own town, and without a town to the only one there is (in its
+    state, if it has one); a master without a town counts where the state agrees.
 
     * a master may have several names (one row each); missing fields say nothing
     * records without a name link to nothing; empty inputs give no rows
     """
-    rows, masters = cut(named(rows)), cut(named(masters))
-    links = cut(variants(names_of(rows), names_of(masters)))
-    place = lambda d, s: d.select(F.col("_name").alias(f"{s}_name"), F.col("_town").alias(f"{s}_town"), F.col("_state").alias(f"{s}_state")).distinct()
-    met = links.select(F.col("l").alias("l_name"), F.col("r").alias("r_name"), "sim").join(place(rows, "l"), "l_name").join(place(masters, "r"), "r_name")
-    clash = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    rows, masters = cut(_profile(named(rows))), cut(_profile(named(masters)))
+    clash = lambda c: F.col(f"l{c}").isNotNull() & F.col(f"r{c}").isNotNull() & (F.col(f"l{c}") != F.col(f"r{c}"))
     towns = F.col("l_town").isNotNull() & F.col("r_town").isNotNull()
-    met = met.filter(~clash("l_town", "r_town") & (towns | ~clash("l_state", "r_state")))
-    keys = ["l_name", "l_town", "l_state"]
-    safe = [F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys]
-    met = cut(met.select(*safe, "r_name", "r_town", "r_state", "sim"))
-    spread = met.groupBy(*keys).agg(F.count_distinct("r_town").alias("k"))
-    met = met.join(spread, keys).filter((F.col("l_town") != "") | (F.col("k") <= 1))
-    l = rows.select(F.col(row_id), F.col("_name").alias("l_name"), F.coalesce("_town", F.lit("")).alias("l_town"), F.coalesce("_state", F.lit("")).alias("l_state")).distinct()
-    r = masters.select(F.col(master_id), F.col("_name").alias("r_name"), F.coalesce("_town", F.lit("")).alias("r_t"), F.coalesce("_state", F.lit("")).alias("r_s")).distinct()
-    met = met.select(*keys, "r_name", F.coalesce("r_town", F.lit("")).alias("r_t"), F.coalesce("r_state", F.lit("")).alias("r_s"))
-    return l.join(met, keys).join(r, ["r_name", "r_t", "r_s"]).select(row_id, master_id).distinct()
+    met = candidates(rows, masters).filter(~clash("_town") & (towns | ~clash("_state")) & ~(clash("_ein") & (F.col("sim") < 0.95)))
+    met = cut(met.select("l", "r", "l_town", "r_town"))
+    spread = met.groupBy("l").agg(F.count_distinct("r_town").alias("k"))
+    met = met.join(spread, "l").filter(F.col("l_town").isNotNull() | (F.col("k") <= 1)).select("l", "r")
+    out = met.join(rows.select(F.col("_p").alias("l"), row_id).distinct(), "l").join(masters.select(F.col("_p").alias("r"), master_id).distinct(), "r")
+    return out.select(row_id, master_id).distinct()

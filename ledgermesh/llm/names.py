@@ -29,11 +29,11 @@ def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float]
     got = total = 0.0
     for w, x in sorted(zip(a, wa), key=lambda p: -p[1]):
         s, y = max(((word_similarity(w, o), (o, z)) for o, z in left), default=(0.0, None), key=lambda p: p[0])
-        total += x
         if s > 0:
             left.remove(y)
-            got += s * min(x, y[1])
-            total += max(0.0, y[1] - x)
+            x = (x + y[1]) / 2
+            got += s * x
+        total += x
     total += sum(z for _, z in left)
     soft = got / total if total else 0.0
     if len(a) != len(b):
@@ -42,6 +42,24 @@ def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float]
     return soft
 
 
+def weakly_alike(a: list[str], b: list[str]) -> bool:
+    """Whether one name may stand for the other: a part of its words, its initials, or both misspelt."""
+    if not a or not b:
+        return False
+    few, many = sorted((list(a), list(b)), key=len)
+    if len(few) == 1 and len(few[0]) <= 4 and few[0] not in many:
+        initials = [w[0] for w in many]
+        return len(many) > 1 and all(i in few[0] for i in initials) and few[0][0] in initials
+    if len(few) < len(many):
+        return any(word_similarity(x, y) > 0 for x in few for y in many)
+    return soft_similarity(few, [1.0] * len(few), many, [1.0] * len(many)) >= 0.6
+
+
+@pandas_udf(T.BooleanType())
+def weak(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([weakly_alike(list(x), list(y)) for x, y in zip(a, b)], dtype=bool)
+
+
 @pandas_udf(T.DoubleType())
 def soft(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
     return pd.Series([soft_similarity(list(p), list(q), list(r), list(s)) for p, q, r, s in zip(a, wa, b, wb)], dtype=float)

@@ -263,7 +263,12 @@ def with_towns(rows: DataFrame) -> DataFrame:
     )
     out = rows.withColumn("_area", F.substring("_zip", 1, 3)).join(area, "_area", "left").join(near, ["_state", "_city"], "left")
     town = F.coalesce("_by_area", "_good", F.expr("nullif(_city, '')"))
-    return out.withColumn("_town", town).drop("_area", "_by_area", "_good")
+    out = out.withColumn("_town", town).drop("_area", "_by_area", "_good")
+    # a state for rows that give a town only, where nine of ten rows of the town agree
+    share = out.filter("_town is not null and _state is not null").groupBy("_town", "_state").count()
+    state = share.groupBy("_town").agg(F.max_by("_state", F.struct("count", "_state")).alias("_ts"), (F.max("count") >= 0.9 * F.sum("count")).alias("sure"))
+    out = out.join(state.filter("sure").drop("sure"), "_town", "left")
+    return out.withColumn("_state", F.coalesce("_ts", "_state")).drop("_ts")
 
 
 def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, street: str, city: str, state: str, zip_: str, keep: list[str]) -> DataFrame:
@@ -276,7 +281,7 @@ def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, str
         usable_ein(F.col(ein)).alias("_ein"),
         usable_phone(F.col(phone)).alias("_phone"),
         email_name(F.col(email)).alias("_mail"),
-        F.expr(f"nullif(upper(trim(`{state}`)), '')").alias("_state"),
+        F.expr(f"nullif(substring(upper(regexp_replace(trim(`{state}`), '[^A-Za-z]', '')), 1, 2), '')").alias("_state"),
         usable_zip(F.col(zip_)).alias("_zip"),
         F.col(city).alias("_c"),
     )
