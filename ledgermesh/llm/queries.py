@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.feeds import current
+from ..plans.feeds import current, live
 from ..plans.registry import Registry, table
 from ..session import cut
 from . import tokenizer
 from .addresses import same_building
 from .components import components
 from .matching import link_to_masters, match
-from .records import take_apart
+from .packing import pack
+from .records import take_apart, usable_email
+from .splitting import split_oversized
+from .survivors import survivors
 
 R = Registry()
 REGISTRIES = [R]
@@ -131,3 +134,63 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link_to_masters(take_apart(rows, *FIELDS, ["_id"]), take_apart(g, *FIELDS, ["golden_record_id"]), "_id", "golden_record_id")
     kind = F.substring_index("_id", ":", 1)
     return found.select(kind.alias("record_type"), F.substring_index("_id", ":", -1).cast("long").alias("record_id"), "golden_record_id")
+
+FIRST, LAST = "2022-01-01", "2025-02-28"
+KEPT = ("display_name", "ein", "contact_name", "email", "phone", "category", "commodity", "street_address", "city", "state", "zip", "website", "payment_terms")
+
+
+def golden_members(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """Live vendors listed by active golden records, with their fields; _t is a valid updated_at or null."""
+    golden = table(spark, sf_dir, "golden_records").filter("status = 'ACTIVE'")
+    inside = listed(golden).filter("kind = 'v'").select("golden_record_id", F.col("record_id").alias("vendor_id"))
+    rows = current(spark, sf_dir, "staged_vendors", "vendor_id", "updated_at", *fields)
+    dated = F.when(F.to_date("updated_at").between(FIRST, LAST), F.col("updated_at"))
+    values = [usable_email(F.col(f)).alias(f) if f == "email" else F.col(f) for f in fields]
+    return inside.join(rows.select("vendor_id", dated.alias("_t"), *values), "vendor_id")
+
+
+def feed_history(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    feed = table(spark, sf_dir, "staged_vendors").filter(F.to_date("updated_at").between(FIRST, LAST))
+    values = [usable_email(F.col(f)).alias(f) if f == "email" else F.col(f) for f in fields]
+    return feed.select("vendor_id", F.col("updated_at").alias("_t"), *values)
+
+
+@R.query("p1_golden")
+def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each active golden record, each field with its source."""
+    members = golden_members(spark, sf_dir, *KEPT)
+    return survivors(members, "golden_record_id", "vendor_id", "_t", KEPT, [(members, "golden_record_id"), (feed_history(spark, sf_dir, *KEPT), "vendor_id")])
+
+
+@R.query(
+    "p1_found",
+    f"""
+WITH l AS (SELECT vendor_id, lower(trim(email, E' \\t\\r\\n\\u00a0')) e,
+  CASE WHEN CAST(updated_at AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}' THEN updated_at ELSE TIMESTAMP '1900-01-01' END t
+  FROM {live('staged_vendors', 'vendor_id')}),
+g AS (SELECT DISTINCT golden_record_id, trim(unnest(from_json(lower(source_records), '["varchar"]'))) s FROM golden_records
+      WHERE status = 'ACTIVE' AND json_valid(source_records)),
+m AS (SELECT golden_record_id, l.*, regexp_matches(e, '^[a-z0-9_%+-]+([.][a-z0-9_%+-]+)*@[a-z0-9]([a-z0-9-]*[a-z0-9])?([.][a-z0-9]([a-z0-9-]*[a-z0-9])?)*[.][a-z]{{2,}}$')
+      AND NOT regexp_matches(e, '^(none|na|n/a|unknown|test|noemail)@(none|na|unknown|test|noemail)[.]') ok
+      FROM g JOIN l ON s = 'v-' || vendor_id)
+SELECT golden_record_id, first(vendor_id ORDER BY t DESC, vendor_id) FILTER (WHERE ok) AS vendor_id FROM m
+GROUP BY 1 HAVING count(*) >= 2 AND bool_or(ok)""",
+)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendor whose e-mail survives in each active golden record of two live vendors or more."""
+    members = cut(golden_members(spark, sf_dir, "email"))
+    kept = survivors(members, "golden_record_id", "vendor_id", "_t", ["email"], [], by_id=["email"])
+    several = members.groupBy("golden_record_id").agg(F.count_distinct("vendor_id").alias("k")).filter("k >= 2")
+    return kept.filter("email is not null").join(several, "golden_record_id").select("golden_record_id", F.col("email_from").alias("vendor_id"))
+
+
+@R.query("p9_packed")
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in containers of 2,048."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@R.query("p10_pieces")
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over 1,024 tokens in pieces that overlap by 64."""
+    return split_oversized(table(spark, sf_dir, "documents"))
