@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feeds
+from . import feeds, network
 
-REGISTRIES = [feeds.R]
+REGISTRIES = [feeds.R, network.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query of entry()."""
-    return feeds.p4_found(spark, sf_dir)
+    return network.flagship(spark, sf_dir)
