@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feeds, network
+from . import feeds, network, personas
 
-REGISTRIES = [feeds.R, network.R]
+REGISTRIES = [feeds.R, network.R, personas.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
