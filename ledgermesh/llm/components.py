@@ -86,7 +86,7 @@ def components(pairs: DataFrame, left: str, right: str, max_rounds: int = 200) -
             found = step.join(over, "p", "left").select("v", F.coalesce("root", "p").alias("root"))
             if kind == "remove":
                 found = found.unionByName(labels)
-        labels = found
+        labels = cut(found)  # one small plan for each level
     if labels is None:
         return vertices.select(F.col("v").alias("id"), F.col("v").alias("group_id"))
     labels = cut(vertices.join(labels, "v", "left").select("v", F.coalesce("root", "v").alias("root")))
