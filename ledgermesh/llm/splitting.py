@@ -41,23 +41,31 @@ def units(text: str, most: int) -> list[int]:
 
 def depths(bags: list[Counter]) -> list[float]:
     """Depth of the similarity valley at the gap after each unit, by blocks sliding along."""
-    n = len(bags)
-    left, right, sims = Counter(), Counter(), []
+    left, right, sims = {}, {}, []
+    dot = inside = outside = 0
+
+    def move(own: dict, other: dict, bag: Counter, sign: int) -> tuple[int, int]:
+        """Add or take a unit's words; the changes of the product and of the squared length."""
+        product = square = 0
+        for w, c in bag.items():
+            have = own.get(w, 0)
+            square += c * (c + 2 * sign * have)
+            product += sign * c * other.get(w, 0)
+            own[w] = have + sign * c
+        return product, square
+
     for b in bags[:BLOCK]:
-        right.update(b)
-    for i in range(n - 1):
-        left.update(bags[i])
-        if i >= BLOCK:
-            left.subtract(bags[i - BLOCK])
-        right.subtract(bags[i])
-        if i + BLOCK < n:
-            right.update(bags[i + BLOCK])
-        a, b = (left, right) if len(left) < len(right) else (right, left)
-        dot = sum(v * b.get(k, 0) for k, v in a.items())
-        if i % 16 == 15:
-            left, right = +left, +right
-        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
-        sims.append(dot / norm if norm else 0.0)
+        outside += move(right, left, b, 1)[1]
+    for i in range(len(bags) - 1):
+        for own, other, k, sign in ((right, left, i, -1), (left, right, i, 1), (left, right, i - BLOCK, -1), (right, left, i + BLOCK, 1)):
+            if 0 <= k < len(bags):
+                p, q = move(own, other, bags[k], sign)
+                dot += p
+                if own is left:
+                    inside += q
+                else:
+                    outside += q
+        sims.append(dot / math.sqrt(inside * outside) if inside and outside else 0.0)
     up, peak = [], 0.0
     for k, s in enumerate(sims):
         peak = s if k and s < sims[k - 1] and peak < sims[k - 1] else max(peak * 0.9, s)
@@ -71,7 +79,7 @@ def depths(bags: list[Counter]) -> list[float]:
 
 def split_text(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int, int]] | None:
     """Pieces (start, end, tokens) of a text over the limit, else None."""
-    if len(text.encode("utf-8", "replace")) <= limit or len(encode(text)) <= limit:
+    if len(text) <= limit * 4 and (len(text.encode("utf-8", "replace")) <= limit or len(encode(text)) <= limit):
         return None
     # a unit takes a quarter of the room at most, so that a natural end is always in reach
     room = limit - overlap
@@ -79,6 +87,9 @@ def split_text(text: str, limit: int, overlap: int, encode) -> list[tuple[int, i
     starts = [0, *ends[:-1]]
     parts = [text[a:b] for a, b in zip(starts, ends)]
     sizes = [len(encode(p)) for p in parts]
+    # cutting a text into units adds two tokens to each at most
+    if sum(sizes) - 2 * len(sizes) <= limit and len(encode(text)) <= limit:
+        return None
     deep = depths([Counter(WORD.findall(p.lower())) for p in parts])
     for k, p in enumerate(parts[:-1]):
         deep[k] += 0.3 * p.endswith("\n\n") + 0.15 * p.endswith("\n") + (0.1 if p[-1:] in ".!?。！？" else -0.5 if not p.endswith("\n") else 0.0)
