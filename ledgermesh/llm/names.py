@@ -12,6 +12,8 @@ from .records import distance
 #: Length of the grams; share of a name's weight that two names must have in common to
 #: be compared; soft similarity from which they are variants of one name.
 Q, OVERLAP, SIMILAR = 4, 0.4, 0.8
+#: Names that the weights count besides those there are, so that they are even in short lists.
+SMOOTH = 1000
 
 
 def word_similarity(a: str, b: str) -> float:
@@ -94,7 +96,7 @@ def variants(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both lists have n (unique), core (array of words), firsts, initial as split_name
     gives them. Each name is the set of its words, their q-grams and its joined
-    writings, an element weighing log(names / names that have it); two names are
+    writings, an element weighing log((names + SMOOTH) / names that have it); two names are
     compared only if they share an element of their prefixes: the rarest elements, down
     to where the rest can't reach the overlap. Verified by soft token similarity with
     the words' own weights, so rare words count more, and by the given names.
@@ -104,8 +106,9 @@ def variants(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     both = left.select("n", "core", "firsts", "initial", F.lit("l").alias("side")).unionByName(right.select("n", "core", "firsts", "initial", F.lit("r").alias("side")))
     both = both.filter(F.size("core") > 0)
-    total = both.count() + 1
-    sets = both.select("side", "n", F.explode(grams(F.col("core"))).alias("e"))
+    total = both.count() + SMOOTH
+    # names and elements go by their hashes, which are shorter
+    sets = both.select("side", F.xxhash64("n").alias("n"), F.explode(F.transform(grams(F.col("core")), lambda e: F.xxhash64(e))).alias("e"))
     weights = cut(sets.groupBy("e").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("w")))
     weighed = sets.join(weights, "e")
     rarest = W.partitionBy("side", "n").orderBy(F.desc("w"), "e")
@@ -113,16 +116,16 @@ def variants(left: DataFrame, right: DataFrame) -> DataFrame:
     whole = F.sum("w").over(W.partitionBy("side", "n"))
     prefix = cut(weighed.select("side", "n", "e", ahead.alias("a"), whole.alias("t")).filter("a <= %f * t" % (1 - OVERLAP)).select("side", "n", "e"))
     pairs = (
-        prefix.filter("side = 'l'").select(F.col("n").alias("l"), "e")
-        .join(prefix.filter("side = 'r'").select(F.col("n").alias("r"), "e"), "e")
-        .select("l", "r").distinct()
+        prefix.filter("side = 'l'").select(F.col("n").alias("lh"), "e")
+        .join(prefix.filter("side = 'r'").select(F.col("n").alias("rh"), "e"), "e")
+        .select("lh", "rh").distinct()
     )
-    own = both.select("side", "n", "firsts", "initial", F.posexplode("core").alias("i", "x")).withColumn("e", F.concat(F.lit("="), "x")).join(weights, "e")
+    own = both.select("side", "n", "firsts", "initial", F.posexplode("core").alias("i", "x")).withColumn("e", F.xxhash64(F.concat(F.lit("="), "x"))).join(weights, "e")
     own = own.groupBy("side", "n").agg(F.first("firsts").alias("firsts"), F.first("initial").alias("initial"), F.array_sort(F.collect_list(F.struct("i", "x", "w"))).alias("c"))
-    own = own.select("side", "n", "firsts", "initial", F.col("c.x").alias("x"), F.col("c.w").alias("w"))
+    own = own.select("side", F.xxhash64("n").alias("h"), "n", "firsts", "initial", F.col("c.x").alias("x"), F.col("c.w").alias("w"))
 
     def of(side: str) -> DataFrame:
-        return own.filter(F.col("side") == side).select(F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("firsts", "initial", "x", "w")])
+        return own.filter(F.col("side") == side).select(F.col("h").alias(f"{side}h"), F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("firsts", "initial", "x", "w")])
 
-    met = pairs.join(of("l"), "l").join(of("r"), "r").filter(given_names_agree("l_", "r_"))
+    met = pairs.join(of("l"), "lh").join(of("r"), "rh").filter(given_names_agree("l_", "r_"))
     return met.select("l", "r", soft("l_x", "l_w", "r_x", "r_w").alias("sim")).filter(F.col("sim") >= SIMILAR)

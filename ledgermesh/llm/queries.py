@@ -88,7 +88,7 @@ def live_vendors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of live vendors at one building."""
-    return same_building(vendor_records(spark, sf_dir), "vendor_id")
+    return same_building(cut(vendor_records(spark, sf_dir)), "vendor_id")
 
 FIELDS = ("display_name", "email", "phone", "ein", "street_address", "city", "state", "zip")
 

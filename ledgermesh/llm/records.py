@@ -35,6 +35,12 @@ NICKNAMES = {
     "james": "jim jimmy jamie", "francisco": "frank paco pancho cisco", "edward": "ed eddie ned ted eddy", "richard": "rick dick richie", "joseph": "joe joey",
     "michael": "mike mick", "thomas": "tom tommy", "jennifer": "jen jenny", "daniel": "dan danny", "alexander": "alex sandy", "rebecca": "becky becca",
 }
+SHORT_FORMS: dict[str, list[str]] = {}
+for _name, _forms in NICKNAMES.items():
+    for _form in (_name, *_forms.split()):
+        SHORT_FORMS.setdefault(_form, []).append(_name)
+GIVEN_LETTERS = [(k, set(k)) for k in NICKNAMES]
+TRADE_LETTERS = [(t, set(t)) for t in TRADE]
 # Street types, compass points, units, ordinals, parts of town names.
 STREET = {
     "street": "street str st", "avenue": "avenue ave av", "road": "road rd", "drive": "drive dr drv", "lane": "lane ln", "court": "court ct crt", "place": "place pl",
@@ -71,7 +77,8 @@ def distance(a: str, b: str, most: int = 2) -> int:
     """Edits (with swaps of neighbours) between two words, or most + 1."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # an edit changes two letters of the sets at most
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -90,16 +97,21 @@ def distance(a: str, b: str, most: int = 2) -> int:
 @lru_cache(maxsize=200_000)
 def given(word: str) -> tuple[str, ...]:
     """Given names a word can stand for."""
-    exact = tuple(k for k, v in NICKNAMES.items() if word == k or word in v.split())
-    return exact or tuple(k for k in NICKNAMES if len(word) >= 5 and distance(word, k, 1) <= 1)
+    exact = tuple(SHORT_FORMS.get(word, ()))
+    if exact or len(word) < 5:
+        return exact
+    letters = set(word)
+    return tuple(k for k, own in GIVEN_LETTERS if abs(len(word) - len(k)) <= 1 and len(letters ^ own) <= 2 and distance(word, k, 1) <= 1)
 
 
 @lru_cache(maxsize=200_000)
 def _trade(w: str) -> bool:
-    return w in SHORT_TRADE or any(
-        w == t or (len(w) >= 3 and t.startswith(w) and len(t) > len(w)) or (len(w) >= 6 and distance(w, t, 1) <= 1) or (len(w) >= 9 and distance(w, t, 2) <= 2)
-        for t in TRADE
-    )
+    if w in SHORT_TRADE or any(len(w) >= 3 and t.startswith(w) for t in TRADE):
+        return True
+    if len(w) < 6:
+        return False
+    letters, most = set(w), 2 if len(w) >= 9 else 1
+    return any(abs(len(w) - len(t)) <= most and len(letters ^ own) <= 2 * most and distance(w, t, most) <= most for t, own in TRADE_LETTERS)
 
 
 def split_name(text: str | None) -> tuple[list[str], list[str], str, str]:
