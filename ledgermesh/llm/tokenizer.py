@@ -23,6 +23,8 @@ PATTERN = (
 NONE = 1 << 30
 #: Words up to so many bytes take the plainer fold.
 SHORT = 64
+#: Places of the table of whole words.
+SLOTS = 1 << 17
 
 
 @lru_cache(maxsize=4)
@@ -64,7 +66,7 @@ def _pair_tables(path: str) -> tuple[list[int], list[int], list[int]]:
     for (a, b), r in merges(path).items():
         rows.setdefault(a, []).append((b, r))
     n = max(ranks(path).values()) + 1
-    start, owner, value = np.zeros(n, int), np.full(4 * n, -1), np.full(4 * n, NONE)
+    start, owner, value = np.zeros(n, int), np.full(4 * n, -1), np.zeros(4 * n, int)
     free, step = 0, 2048
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         b = np.array([x for x, _ in row])
@@ -90,7 +92,7 @@ def _word_tables(path: str) -> tuple[list[str], list[int]]:
             words[token.decode()] = rank
         except UnicodeDecodeError:
             pass
-    n = 1 << 17
+    n = SLOTS
     slots: list[str | None] = [None] * n
     for w in words:
         w0, at = w, None
@@ -126,15 +128,23 @@ def _pair(a: Column, b: Column, tables: list[Column]) -> Column:
     return F.when(F.get(owner, place) == a, F.get(value, place)).otherwise(F.lit(NONE))
 
 
-def fold(word: Column, path: str) -> Column:
+def tables_of(path: str) -> Column:
+    """All tables of a vocabulary as one literal, so that a plan holds them once."""
+    start, owner, value = _pair_tables(path)
+    words, ids = _word_tables(path)
+    single = [ranks(path)[bytes([i])] for i in range(256)]
+    parts = (("start", start, "int"), ("owner", owner, "int"), ("value", value, "int"), ("single", single, "int"), ("words", words, "string"), ("ids", ids, "int"))
+    return F.struct(*[_literal(v, kind).alias(k) for k, v, kind in parts])
+
+
+def fold(word: Column, tb: Column) -> Column:
     """Ids of one word: ranked merges folded over the array of its bytes.
 
     The state holds the ids so far and, at each place, the rank of the merge with the
     id before it; a round applies the smallest rank at all its places, from the left.
     In words over SHORT bytes, runs of one id are merged in one round too.
     """
-    tables = [_literal(x, "int") for x in _pair_tables(path)]
-    single = _literal([ranks(path)[bytes([i])] for i in range(256)], "int")
+    tables, single = [tb["start"], tb["owner"], tb["value"]], tb["single"]
     plain = F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c)))
     h = F.hex(F.encode(word, "UTF-8"))
     coded = F.transform(
@@ -176,13 +186,12 @@ def fold(word: Column, path: str) -> Column:
     return F.when(F.octet_length(word) <= SHORT, run(short)).otherwise(run(long))
 
 
-def lookup(word: Column, path: str) -> Column:
+def lookup(word: Column, tb: Column) -> Column:
     """Id of a word that is one token, else null."""
-    words, ids = _word_tables(path)
-    keys, values = _literal(words, "string"), _literal(ids, "int")
+    keys, values = tb["words"], tb["ids"]
     h = F.xxhash64(word)
-    one = h.bitwiseAND(len(words) - 1).cast("int")
-    two = F.shiftrightunsigned(h, 32).bitwiseAND(len(words) - 1).cast("int")
+    one = h.bitwiseAND(SLOTS - 1).cast("int")
+    two = F.shiftrightunsigned(h, 32).bitwiseAND(SLOTS - 1).cast("int")
     return F.when(F.get(keys, one) == word, F.get(values, one)).when(F.get(keys, two) == word, F.get(values, two))
 
 
@@ -191,15 +200,15 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = f"
     own = [F.col(f"`{c}`") for c in docs.columns if c != out]
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))
 
-    def known(w: Column) -> Column:
-        return F.struct(w.alias("w"), F.transform(w, lambda x: lookup(x, path)).alias("c"))
+    def known(w: Column, tb: Column) -> Column:
+        return F.struct(w.alias("w"), F.transform(w, lambda x: lookup(x, tb)).alias("c"))
 
     def rare(s: Column) -> Column:
         r = F.array_distinct(F.filter(s["w"], lambda x, i: F.get(s["c"], i).isNull()))
         return F.struct(s["w"].alias("w"), s["c"].alias("c"), r.alias("r"))
 
-    def folded(s: Column) -> Column:
-        return F.struct(s["w"].alias("w"), s["c"].alias("c"), s["r"].alias("r"), F.transform(s["r"], lambda x: fold(x, path)).alias("e"))
+    def folded(s: Column, tb: Column) -> Column:
+        return F.struct(s["w"].alias("w"), s["c"].alias("c"), s["r"].alias("r"), F.transform(s["r"], lambda x: fold(x, tb)).alias("e"))
 
     def placed(s: Column) -> Column:
         return F.flatten(
@@ -211,5 +220,5 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = f"
             )
         )
 
-    ids = let(let(let(let(words, known), rare), folded), placed)
+    ids = let(tables_of(path), lambda tb: let(let(let(let(words, lambda w: known(w, tb)), rare), lambda s: folded(s, tb)), placed))
     return docs.select(*own, F.when(F.col(f"`{text}`").isNotNull(), ids).alias(out))
