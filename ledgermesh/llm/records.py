@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..session import cut
+
 # Words of legal form, of trade, and titles, as people write and shorten them.
 LEGAL = set(
     "inc incorporated llc lp ltd limited partnership llp corp corporation co company sons gp pllc plc the and of a an new contractor"
@@ -251,36 +253,37 @@ def with_towns(rows: DataFrame) -> DataFrame:
     written one of its state within two edits that shares its first or last three
     letters. The zip area decides where there is one.
     """
-    # towns are few and rows many: the counts come first, all joins are on their distinct values
-    counts = rows.filter("_city <> ''").groupBy("_state", "_city", F.substring("_zip", 1, 3).alias("_area")).count()
-    cities = counts.groupBy("_state", "_city").agg(F.sum("count").alias("n")).filter("_state is not null")
-    ends = F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring("_city", 1, 3)), F.concat(F.lit(">"), F.expr("right(_city, 3)")))))
+    # all is learned and decided on the distinct places as written; rows are joined once
+    keys = ["_s", "_c", "_area"]
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    rows = rows.withColumns({"_s": blank(F.col("_state")), "_c": blank(F.col("_city")), "_area": blank(F.substring("_zip", 1, 3))})
+    places = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    cities = places.filter("_c <> '' and _s <> ''").groupBy("_s", "_c").agg(F.sum("n").alias("n"))
+    ends = F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.substring("_c", 1, 3)), F.concat(F.lit(">"), F.expr("right(_c, 3)")))))
     keyed = cities.select("*", ends.alias("_key"))
-    other = keyed.select("_state", "_key", F.col("_city").alias("_good"), F.col("n").alias("_m"))
+    other = keyed.select("_s", "_key", F.col("_c").alias("_good"), F.col("n").alias("_m"))
     near = (
-        keyed.join(other, ["_state", "_key"])
-        .filter((F.col("_m") > 3 * F.col("n")) & (F.levenshtein("_city", "_good", 2) >= 0))
-        .groupBy("_state", "_city")
+        keyed.join(other, ["_s", "_key"])
+        .filter((F.col("_m") > 3 * F.col("n")) & (F.levenshtein("_c", "_good", 2) >= 0))
+        .groupBy("_s", "_c")
         .agg(F.max_by("_good", F.struct("_m", "_good")).alias("_good"))
     )
-    named = counts.join(near, ["_state", "_city"], "left").withColumn("_good", F.coalesce("_good", "_city"))
+    named = cut(places.join(near, ["_s", "_c"], "left").withColumn("_good", F.coalesce("_good", F.nullif("_c", F.lit("")))))
     area = (
-        named.filter("_area is not null")
+        named.filter("_area <> '' and _good is not null")
         .groupBy("_area", "_good")
-        .agg(F.sum("count").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("_area")
         .agg(F.max_by("_good", F.struct("n", "_good")).alias("_by_area"), (F.max("n") > 0.5 * F.sum("n")).alias("sure"))
         .filter("sure")
         .drop("sure")
     )
-    out = rows.withColumn("_area", F.substring("_zip", 1, 3)).join(area, "_area", "left").join(near, ["_state", "_city"], "left")
-    town = F.coalesce("_by_area", "_good", F.expr("nullif(_city, '')"))
-    out = out.withColumn("_town", town).drop("_area", "_by_area", "_good")
+    placed = cut(named.join(area, "_area", "left").withColumn("_town", F.coalesce("_by_area", "_good")))
     # a state for rows that give a town only, where nine of ten rows of the town agree
-    share = out.filter("_town is not null and _state is not null").groupBy("_town", "_state").count()
-    state = share.groupBy("_town").agg(F.max_by("_state", F.struct("count", "_state")).alias("_ts"), (F.max("count") >= 0.9 * F.sum("count")).alias("sure"))
-    out = out.join(state.filter("sure").drop("sure"), "_town", "left")
-    return out.withColumn("_state", F.coalesce("_ts", "_state")).drop("_ts")
+    share = placed.filter("_town is not null and _s <> ''").groupBy("_town", "_s").agg(F.sum("n").alias("n"))
+    state = share.groupBy("_town").agg(F.max_by("_s", F.struct("n", "_s")).alias("_ts"), (F.max("n") >= 0.9 * F.sum("n")).alias("sure"))
+    known = cut(placed.join(state.filter("sure").drop("sure"), "_town", "left").select(*keys, "_town", "_ts"))
+    return rows.join(known, keys, "left").withColumn("_state", F.coalesce("_ts", "_state")).drop("_ts", *keys)
 
 
 def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, street: str, city: str, state: str, zip_: str, keep: list[str]) -> DataFrame:
@@ -305,5 +308,5 @@ def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, str
     )
     # notes like (new) are no towns
     staged = staged.withColumn("_city", F.when(F.length("_city") > 3, F.col("_city")).otherwise(""))
-    return with_towns(staged)
+    return with_towns(cut(staged))
 
