@@ -1,7 +1,9 @@
-"""Variant spellings of names: a prefix-filtered set-similarity join (problem 5)."""
+"""Variant spellings of names: a prefix-filtered soft set-similarity join (problem 5)."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
@@ -9,18 +11,25 @@ from pyspark.sql.functions import pandas_udf
 from ..session import cut
 from .records import distance
 
-#: Length of the grams; share of a name's weight that two names must have in common to
-#: be compared; soft similarity from which they are variants of one name.
-Q, OVERLAP, SIMILAR = 4, 0.4, 0.8
+#: Soft similarity from which two names are variants of one.
+SIMILAR = 0.8
+#: Share of the weight of two variants that can be without a partner: with m the weight
+#: matched (the mean of both sides), SIMILAR <= m / (m + rest), so that one side at least
+#: has no more than this share of its own weight unmatched.
+REST = (1 - SIMILAR) / (1 + SIMILAR)
 #: Names that the weights count besides those there are, so that they are even in short lists.
 SMOOTH = 1000
 
 
+def slips(n: int) -> int:
+    """Slips of typing that two words may differ by, the shorter of n letters."""
+    return 0 if n < 4 else 1 if n < 6 else 2 if n < 10 else 3
+
+
 def word_similarity(a: str, b: str) -> float:
     """1 for equal words, less for each slip of typing, 0 beyond what slips explain."""
-    least = min(len(a), len(b))
     d = distance(a, b, 3)
-    return 1.0 - 0.06 * d if d <= (0 if least < 4 else 1 if least < 6 else 2 if least < 10 else 3) else 0.0
+    return 1.0 - 0.06 * d if d <= slips(min(len(a), len(b))) else 0.0
 
 
 def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> float:
@@ -79,27 +88,57 @@ def given_names_agree(a: str, b: str) -> Column:
     )
 
 
-def grams(words: Column) -> Column:
-    """The set that stands for a name: its words, the grams of each, its joined writings."""
-    each = F.flatten(
-        F.transform(
-            words,
-            lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (Q - 1), F.lit(1))), lambda i: F.substr(w, i, F.lit(Q))),
-        )
-    )
-    joined = F.array(F.concat(F.lit("="), F.array_join(words, "")), F.concat(F.lit("="), F.array_join(F.reverse(words), "")))
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), joined, each))
+def shortened(w: str, most: int) -> set[str]:
+    """A word with up to `most` letters left out."""
+    return {"".join(c) for k in range(min(most, len(w)) + 1) for c in combinations(w, len(w) - k)}
+
+
+def slip_keys(w: str, probe: bool) -> set[str]:
+    """Keys of a word; each two words with word_similarity > 0 share one, if one is a probe.
+
+    Words of up to two slips meet in what is left after as many letters are left out of
+    each. With three slips (ten letters or more on both sides), one half of the word has
+    one slip at most: the halves, cut at two neighbouring places, as no swap lies across
+    both, meet in the beginnings and ends of the probe that can stand for them.
+    """
+    n = len(w)
+    keys = {"=" + s for s in shortened(w, min(slips(n), 2))} if n < 12 else set()
+    if n >= 10:
+        sizes = {(n // 2 + i, (n + 1) // 2 - i) for i in (0, 1)}
+        if probe:
+            cuts = {(m // 2 + i, (m + 1) // 2 - i) for m in range(max(n - 3, 10), n + 4) for i in (0, 1)}
+            sizes = {(h + i, t + i) for h, t in cuts for i in (-1, 0, 1)}
+        keys |= {"<" + s for h in {h for h, _ in sizes} for s in shortened(w[:h], 1)}
+        keys |= {">" + s for t in {t for _, t in sizes} for s in shortened(w[max(n - t, 0) :], 1)}
+    return keys
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def own_keys(w: pd.Series) -> pd.Series:
+    return w.map(lambda x: list(slip_keys(x, False)))
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def probe_keys(w: pd.Series) -> pd.Series:
+    return w.map(lambda x: list(slip_keys(x, True)))
+
+
+@pandas_udf(T.BooleanType())
+def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([word_similarity(x, y) > 0 for x, y in zip(a, b)], dtype=bool)
 
 
 def variants(left: DataFrame, right: DataFrame) -> DataFrame:
     """Which names of two lists are spellings of one: l, r, sim.
 
     Both lists have n (unique), core (array of words), firsts, initial as split_name
-    gives them. Each name is the set of its words, their q-grams and its joined
-    writings, an element weighing log((names + SMOOTH) / names that have it); two names are
-    compared only if they share an element of their prefixes: the rarest elements, down
-    to where the rest can't reach the overlap. Verified by soft token similarity with
-    the words' own weights, so rare words count more, and by the given names.
+    gives them. A word weighs log((names + SMOOTH) / names that have it). Two names are
+    compared if a word of one's prefix - its heaviest words, down to where the rest is at
+    most REST of its weight - is alike to a word of the other, or if their joined writings
+    are alike and they differ in the number of words; no pair that the verification
+    accepts is without this. Alike words are found by slip_keys. Verified by soft token
+    similarity with the words' own weights, so rare words count more, and by the given
+    names.
 
     * names without words (null, empty, blanks, trade words only) match nothing
     * repeated names must be made unique before; all names are used, none is capped
@@ -107,19 +146,31 @@ def variants(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.select("n", "core", "firsts", "initial", F.lit("l").alias("side")).unionByName(right.select("n", "core", "firsts", "initial", F.lit("r").alias("side")))
     both = both.filter(F.size("core") > 0)
     total = both.count() + SMOOTH
+    joined = F.array(F.array_join("core", ""), F.array_join(F.reverse("core"), ""))
     # names and elements go by their hashes, which are shorter
-    sets = both.select("side", F.xxhash64("n").alias("n"), F.explode(F.transform(grams(F.col("core")), lambda e: F.xxhash64(e))).alias("e"))
-    weights = cut(sets.groupBy("e").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("w")))
-    weighed = sets.join(weights, "e")
-    rarest = W.partitionBy("side", "n").orderBy(F.desc("w"), "e")
-    ahead = F.coalesce(F.sum("w").over(rarest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    sets = both.select("side", F.xxhash64("n").alias("n"), F.explode(F.array_distinct(F.concat("core", joined))).alias("x"))
+    weights = cut(sets.groupBy(F.xxhash64(F.concat(F.lit("="), "x")).alias("e")).agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("w")))
+    words = both.select("side", F.xxhash64("n").alias("n"), F.size("core").alias("k"), F.posexplode("core").alias("i", "x")).withColumn("e", F.xxhash64(F.concat(F.lit("="), "x"))).join(weights, "e")
+    heaviest = W.partitionBy("side", "n").orderBy(F.desc("w"), "i")
+    ahead = F.coalesce(F.sum("w").over(heaviest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     whole = F.sum("w").over(W.partitionBy("side", "n"))
-    prefix = cut(weighed.select("side", "n", "e", ahead.alias("a"), whole.alias("t")).filter("a <= %f * t" % (1 - OVERLAP)).select("side", "n", "e"))
-    pairs = (
-        prefix.filter("side = 'l'").select(F.col("n").alias("lh"), "e")
-        .join(prefix.filter("side = 'r'").select(F.col("n").alias("rh"), "e"), "e")
-        .select("lh", "rh").distinct()
-    )
+    # a little more than REST, for rounding
+    words = words.select("side", "n", "k", "x", F.lit(True).alias("word"), (ahead <= whole * (REST + 1e-6)).alias("first"), (F.col("k") == 1).alias("joined"))
+    writings = both.filter(F.size("core") > 1).select("side", F.xxhash64("n").alias("n"), F.size("core").alias("k"), F.explode(F.array_distinct(joined)).alias("x"))
+    writings = writings.select("side", "n", "k", "x", F.lit(False).alias("word"), F.lit(False).alias("first"), F.lit(True).alias("joined"))
+    parts = cut(words.unionByName(writings))
+
+    def part(side: str) -> DataFrame:
+        return parts.filter(F.col("side") == side).select(F.col("n").alias(f"{side}h"), *[F.col(c).alias(f"{side}{c}") for c in ("k", "x", "word", "first", "joined")])
+
+    def keyed(side: str, keys) -> DataFrame:
+        return part(side).select(f"{side}x").distinct().select(f"{side}x", F.explode(keys(f"{side}x")).alias("key")).select(f"{side}x", F.xxhash64("key").alias("key"))
+
+    near = keyed("l", own_keys).join(keyed("r", probe_keys), "key").filter(F.abs(F.length("lx") - F.length("rx")) <= 3)
+    near = cut(near.select("lx", "rx").distinct().filter(alike("lx", "rx")))
+    met = near.join(part("l"), "lx").join(part("r"), "rx")
+    pairs = met.filter((F.col("lword") & F.col("rword") & (F.col("lfirst") | F.col("rfirst"))) | (F.col("ljoined") & F.col("rjoined") & (F.col("lk") != F.col("rk"))))
+    pairs = pairs.select("lh", "rh").distinct()
     own = both.select("side", "n", "firsts", "initial", F.posexplode("core").alias("i", "x")).withColumn("e", F.xxhash64(F.concat(F.lit("="), "x"))).join(weights, "e")
     own = own.groupBy("side", "n").agg(F.first("firsts").alias("firsts"), F.first("initial").alias("initial"), F.array_sort(F.collect_list(F.struct("i", "x", "w"))).alias("c"))
     own = own.select("side", F.xxhash64("n").alias("h"), "n", "firsts", "initial", F.col("c.x").alias("x"), F.col("c.w").alias("w"))

@@ -1,6 +1,8 @@
 """Operators tagged llm against brute force, known cases, nulls, ties, empties and clashing names."""
 
+import math
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -10,7 +12,7 @@ from ledgermesh.llm import tokenizer as T
 from ledgermesh.llm.addresses import align, same_building
 from ledgermesh.llm.components import components
 from ledgermesh.llm.matching import link_to_masters, match
-from ledgermesh.llm.names import soft_similarity, variants, weakly_alike
+from ledgermesh.llm.names import SIMILAR, SMOOTH, slip_keys, soft_similarity, variants, weakly_alike, word_similarity
 from ledgermesh.llm.packing import encoder, pack
 from ledgermesh.llm.records import distance, split_address, split_name, take_apart, usable_email
 from ledgermesh.llm.splitting import Encode, split_oversized, split_text
@@ -174,6 +176,30 @@ def test_variants_match_brute_force(spark):
     assert len(missed) <= 2
 
 
+def test_variants_are_all_that_verify(spark):
+    r = random.Random(5)
+    tok = lambda n: "".join(r.choice(["pri", "lisk", "zo", "den", "kra", "vex", "mont"]) for _ in range(n))
+
+    def slip(w, times):
+        for _ in range(times):
+            i, kind = r.randrange(len(w) - 1), r.randrange(4)
+            w = w[:i] + ("", r.choice("aeiou") + w[i], r.choice("aeiou"), w[i + 1] + w[i])[kind] + w[i + 1 + (kind == 3) :]
+        return w
+
+    words = [tok(n) for n in (1, 2, 3, 4, 5, 6) for _ in range(60)]
+    close = [(w, slip(w, r.randint(1, 3))) for w in words if len(w) > 3]
+    close = [p for p in close if word_similarity(*p) > 0]
+    assert len(close) > 150 and all(slip_keys(a, False) & slip_keys(b, True) for p in close for a, b in (p, p[::-1]))
+
+    left = [[tok(r.randint(2, 4)) for _ in range(r.choice([1, 2, 2, 3]))] for _ in range(60)]
+    right = [[slip(w, r.randint(0, 2)) for w in n] for n in left] + [["".join(n)] for n in left if len(n) > 1]
+    count = Counter(e for n in left + right for e in {*n, "".join(n), "".join(reversed(n))})
+    weigh = lambda n: [math.log((len(left) + len(right) + SMOOTH) / count[w]) for w in n]
+    want = {(f"n{i}", f"n{j}") for i, a in enumerate(left) for j, b in enumerate(right) if soft_similarity(a, weigh(a), b, weigh(b)) >= SIMILAR}
+    df = lambda rows: spark.createDataFrame([(f"n{i}", n, [], "") for i, n in enumerate(rows)], "n string, core array<string>, firsts array<string>, initial string")
+    assert len(want) > 60 and {(x.l, x.r) for x in variants(df(left), df(right)).collect()} == want
+
+
 def test_survivors(spark):
     day = lambda n: datetime(2024, 1, n)
     rows = [
