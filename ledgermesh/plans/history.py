@@ -13,9 +13,9 @@ AT = "TIMESTAMP '2024-01-15'"
 
 @R.query("l1_audit_trail", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn <= 50 AND user_id <= 20")
 def l1(spark, d):
-    """The last fifty audit entries of entities."""
+    """The last fifty audit entries of each entity."""
     rn = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, d, "events").filter("user_id <= 20").withColumn("rn", rn).filter("rn <= 50").select("event_id", "user_id", "event_type")
+    return table(spark, d, "events").withColumn("rn", rn).filter("rn <= 50").select("event_id", "user_id", "event_type")
 
 
 @R.query("l2_parse_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
