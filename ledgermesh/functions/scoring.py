@@ -98,6 +98,11 @@ def industry_score(a: Column, b: Column, linked: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 1.0).when(p(3), 0.8).when(p(2), 0.5).when(linked, 0.4).otherwise(0.0))
 
 
+def commodity_score(a: Column, b: Column) -> Column:
+    """Shared share of the keywords; null if either side has none."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.round(jaccard(a, b), 3))
+
+
 def behavioral_score(ba: Column, bb: Column, va: Column, vb: Column) -> Column:
     base = F.when(ba == bb, 0.7).otherwise(0.3)
     known = va.isNotNull() & (va != 0) & (vb > 0)

@@ -296,13 +296,34 @@ CO = f"CASE WHEN {LO} IS NULL THEN {ID} ELSE (0.35 * {ID} + 0.15 * {LO}) / 0.5 E
 FAST = f"CASE WHEN {EM} = 'EXACT' AND vs = gs THEN 0.95 WHEN {JW} >= 0.95 AND vs = gs AND vc = gc THEN 0.9 ELSE round(CASE WHEN {JW} < 0.55 THEN least({CO}, 0.3) WHEN {JW} < 0.75 THEN least({CO}, 0.4) ELSE {CO} END, 4) END"
 
 
+def vendor_traits(spark, d) -> DataFrame:
+    """Industry, commodities and volume of each vendor."""
+    v = K.industries(L.vendors(spark, d), "category").select("vendor_id", "naics", K.commodities(F.col("commodity"), F.col("display_name")).alias("goods"))
+    s = L.silver(spark, d).filter("connection_type = 'vendor'").select(F.col("connection_id").alias("vendor_id"), "total_volume", "transaction_count")
+    b = K.bracket(F.col("total_volume"), F.col("transaction_count"))
+    s = s.withColumn("bracket", b).withColumn("avg", F.when(F.col("bracket").isNotNull(), F.col("total_volume") / F.col("transaction_count")))
+    return v.join(s, "vendor_id").select(F.col("vendor_id").alias("vid"), *[F.col(c).alias(f"v_{c}") for c in ("naics", "goods", "bracket", "avg")])
+
+
+def golden_traits(spark, d) -> DataFrame:
+    """Industry, commodities and volume of each golden record."""
+    goods = F.filter(F.from_json(F.lower("commodity_keywords"), "array<string>"), lambda g: g.isNotNull())
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return golden_one(spark, d).select(
+        F.col("golden_record_id").alias("gid"), text("naics_code").alias("g_naics"), goods.alias("g_goods"), text("volume_bracket").alias("g_bracket"), F.col("avg_transaction").cast("double").alias("g_avg")
+    )
+
+
 def scored(spark, d) -> DataFrame:
-    """Pairs with identity, location and composite score, fast paths first."""
-    c = with_names(compared(spark, d))
+    """Pairs with the scores of all dimensions and the composite score, fast paths first."""
+    c = with_names(compared(spark, d)).join(vendor_traits(spark, d), "vid", "left").join(golden_traits(spark, d), "gid", "left")
     a, b, m = _fields(c)
     two = lambda n: (F.col(f"v_{n}"), F.col(f"g_{n}"))
     c = c.withColumn("identity", S.identity_score(F.col("sim"), S.jaccard(*two("name_tokens")), a, b, m)).withColumn("location", S.location_score(two("state"), two("zip5"), two("zip3"), two("city")))
-    whole = S.composite({"identity": F.col("identity"), "location": F.col("location")}, F.col("sim"))
+    links = F.array(*[F.lit(f"{x}>{y}") for a, b, _ in CROSS_LINKS for x, y in ((a, b), (b, a))])
+    c = c.withColumn("industry", S.industry_score(*two("naics"), F.array_contains(links, F.concat_ws(">", *two("naics")))))
+    c = c.withColumn("commodity", S.commodity_score(*two("goods"))).withColumn("behavioral", S.behavioral_score(*two("bracket"), *two("avg")))
+    whole = S.composite({k: F.col(k) for k in ("identity", "industry", "location", "commodity", "behavioral")}, F.col("sim"))
     same = lambda n: F.coalesce(F.col(f"v_{n}") == F.col(f"g_{n}"), F.lit(False))
     fast = F.when(same("ein") & same("state"), 0.95).when((F.col("sim") >= 0.95) & same("state") & same("city"), 0.90).otherwise(whole)
     return c.withColumn("composite", fast)

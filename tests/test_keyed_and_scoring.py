@@ -46,6 +46,27 @@ def test_scores(spark):
     assert one(spark, S.cosine(lit(1.0, 0.0), lit(2.0, 0.0)), S.cosine(lit(0.0, 0.0), lit(1.0, 0.0))) == (1.0, 0.0)
 
 
+def test_composite_has_all_dimensions(spark, monkeypatch):
+    from ledgermesh.plans import personas as P
+
+    names = ["clean", "name_tokens", "ein", "phone", "email", "state", "zip5", "zip3", "city"]
+    schema = "vid long, gid string, " + ", ".join(f"{s}_{n} {'array<string>' if n == 'name_tokens' else 'string'}" for s in "vg" for n in names)
+    side = ["ACME TOOL", ["ACME", "TOOL"], None, None, None, "TX", "78701", "787", "AUSTIN"]
+    other = ["ACME TOOLS", ["ACME", "TOOLS"], None, None, None, "TX", "75001", "750", "DALLAS"]
+    pairs = spark.createDataFrame([(v, g, *side, *other) for v, g in ((1, "a"), (2, "b"), (3, "c"))], schema)
+    traits = "naics string, goods array<string>, bracket string, avg double"
+    of = lambda s, i, t: spark.createDataFrame(t, f"{i}, " + ", ".join(f"{s}_{x}" for x in traits.split(", ")))
+    monkeypatch.setattr(P, "compared", lambda *_: pairs)
+    monkeypatch.setattr(P, "vendor_traits", lambda *_: of("v", "vid long", [(1, "423720", ["pipe", "wire"], "LOW", 100.0), (2, "423720", [], None, None), (3, "423720", ["pipe"], "LOW", 5.0)]))
+    monkeypatch.setattr(P, "golden_traits", lambda *_: of("g", "gid string", [("a", "238220", ["pipe"], "HIGH", 50.0), ("b", None, ["pipe"], "LOW", 1.0), ("c", "423999", ["oak"], "LOW", 500.0)]))
+    got = {x.vid: x for x in P.scored(spark, "").collect()}
+    assert [(got[v].industry, got[v].commodity, got[v].behavioral) for v in (1, 2, 3)] == [(0.4, 0.5, 0.6), (None, None, None), (0.8, 0.0, 0.2)]
+    i, loc = got[1].identity, got[1].location
+    assert abs(got[1].composite - round(0.35 * i + 0.25 * 0.4 + 0.15 * loc + 0.15 * 0.5 + 0.10 * 0.6, 4)) < 2e-4
+    assert abs(got[2].composite - (0.35 * i + 0.15 * loc) / 0.5) < 2e-4
+    assert abs(got[3].composite - (0.35 * i + 0.25 * 0.8 + 0.15 * loc + 0.10 * 0.2)) < 2e-4
+
+
 def test_keyed(spark):
     rows = spark.createDataFrame([(1, 1, "a", "x"), (1, 2, None, "y"), (2, 1, "b", None), (2, 3, "b", None)], "k int, s int, p string, q string")
     assert sorted(tuple(x) for x in deduplicate(rows, ["k"], ["s"], F.col("s") == 3).collect()) == [(1, 2, None, "y")]
