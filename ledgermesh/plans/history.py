@@ -35,11 +35,15 @@ def l3(spark, d):
 @R.query("l6_field_diff", """SELECT vendor_id, change_seq, 'phone' AS field, before, phone AS after FROM (SELECT vendor_id, change_seq, phone, op, lag(phone) OVER w before, lag(op) OVER w bop FROM (SELECT DISTINCT vendor_id, change_seq, phone, op FROM staged_vendors) WINDOW w AS (PARTITION BY vendor_id ORDER BY change_seq))
  WHERE op <> 'D' AND bop <> 'D' AND before IS DISTINCT FROM phone""")
 def l6(spark, d):
-    """Changes of a field from one version to the next."""
+    """Changes of every column from one version to the next."""
     w = W.partitionBy("vendor_id").orderBy("change_seq")
-    v = table(spark, d, "staged_vendors").select("vendor_id", "change_seq", "phone", "op").distinct()
-    v = v.withColumns({"before": F.lag("phone").over(w), "bop": F.lag("op").over(w)})
-    return v.filter("op <> 'D' and bop <> 'D'").filter(~F.col("before").eqNullSafe(F.col("phone"))).select("vendor_id", "change_seq", F.lit("phone").alias("field"), "before", F.col("phone").alias("after"))
+    v = table(spark, d, "staged_vendors").drop("captured_at").distinct()
+    fields = [c for c in v.columns if c not in ("vendor_id", "change_seq", "op")]
+    v = v.withColumn("now", F.struct(*[F.col(c).cast("string").alias(c) for c in fields])).select("vendor_id", "change_seq", "op", "now")
+    v = v.withColumns({"old": F.lag("now").over(w), "bop": F.lag("op").over(w)}).filter("op <> 'D' and bop <> 'D'")
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col("old")[c].alias("before"), F.col("now")[c].alias("after")) for c in fields])
+    changed = F.filter(each, lambda x: ~x["before"].eqNullSafe(x["after"]))
+    return v.select("vendor_id", "change_seq", F.explode(changed).alias("c")).select("vendor_id", "change_seq", "c.*")
 
 
 @R.query("l7_nearest_event", f"SELECT user_id, arg_min(event_id, (abs(epoch(ts) - epoch({AT})), event_id)) AS event_id FROM events GROUP BY 1")
