@@ -216,3 +216,12 @@ def test_survivors(spark):
     mails = [" A@B.example ", "none@none.example", "x at y.example", "a@@b.example", "a@.example", "", None, "a.b@c-d.example"]
     d = spark.createDataFrame([(x,) for x in mails], "e string").select(usable_email(F.col("e")).alias("e"))
     assert [x.e for x in d.collect()] == ["a@b.example", None, None, None, None, None, None, "a.b@c-d.example"]
+
+
+def test_survivors_by_values_between(spark):
+    day = lambda n: datetime(2024, 1, n)
+    history = spark.createDataFrame([("h1", day(1), "z"), ("h1", day(2), "m"), ("h1", day(3), "a"), ("h1", day(3), "b")], "h string, _t timestamp_ntz, terms string")
+    m = spark.createDataFrame([("g1", 1, None, "z"), ("g1", 2, None, "z"), ("g1", 3, None, "a"), ("g2", 4, None, "a"), ("g2", 5, None, "b")], "g string, vid long, _t timestamp_ntz, terms string")
+    got = {x.g: (x.terms, x.terms_from) for x in survivors(m, "g", "vid", "_t", ["terms"], [(history, "h")]).collect()}
+    # z before m before a, though m is in neither group; a and b of one day have no order
+    assert got == {"g1": ("a", 3), "g2": ("a", 4)}
