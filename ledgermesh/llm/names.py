@@ -2,78 +2,106 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut
-from .records import distance
+from .records import distance, same_form, shortened
 
 #: Soft similarity from which two names are variants of one.
 SIMILAR = 0.8
-#: Share of the weight of two variants that can be without a partner: with m the weight
-#: matched (the mean of both sides), SIMILAR <= m / (m + rest), so that one side at least
-#: has no more than this share of its own weight unmatched.
-REST = (1 - SIMILAR) / (1 + SIMILAR)
+#: What a shared number (EIN, phone, e-mail name) adds to the similarity of two names, and the least of names that share two.
+SHARED, TWICE = 0.35, 0.8
+#: What trade words that don't agree take from it, and slips of typing in the whole name that are made up for by nothing.
+OTHER_TRADE, SLIPS = 0.35, 3
 #: Names that the weights count besides those there are, so that they are even in short lists.
 SMOOTH = 1000
 
 
 def slips(n: int) -> int:
     """Slips of typing that two words may differ by, the shorter of n letters."""
-    return 0 if n < 4 else 1 if n < 6 else 2 if n < 10 else 3
+    return 0 if n < 4 else 1 if n < 9 else 2
+
 
+def word_similarity(a: str, b: str, most: int = 0) -> float:
+    """1 for equal words, less for each slip of typing, 0 beyond what slips explain (`most` at least)."""
+    few = min(len(a), len(b))
+    most = max(slips(few), most if few > most + 2 else 0)
+    d = distance(a, b, most)
+    return 1.0 - 0.06 * d if d <= most else 0.0
 
-def word_similarity(a: str, b: str) -> float:
-    """1 for equal words, less for each slip of typing, 0 beyond what slips explain."""
-    d = distance(a, b, 3)
-    return 1.0 - 0.06 * d if d <= slips(min(len(a), len(b))) else 0.0
 
+def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float], loose: bool = False) -> float:
+    """Share of the words' weight that matches softly; joined writings are compared as one.
 
-def soft_similarity(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> float:
-    """Share of the words' weight that matches softly; joined writings are compared as one."""
+    loose (for names that share a number): a word may be cut short or misspelt worse, a
+    name may stand for one of more words (half its worth).
+    """
     if not a or not b:
         return 0.0
     left = list(zip(b, wb))
     got = total = 0.0
+    slipped = 0
+
+    def worth(w: str, o: str) -> float:
+        s = word_similarity(w, o, 3 if loose else 0)
+        if not s and loose and min(len(w), len(o)) >= 3 and (w.startswith(o) or o.startswith(w)):
+            s = 0.7
+        return s
+
     for w, x in sorted(zip(a, wa), key=lambda p: -p[1]):
-        s, y = max(((word_similarity(w, o), (o, z)) for o, z in left), default=(0.0, None), key=lambda p: p[0])
+        s, y = max(((worth(w, o), (o, z)) for o, z in left), default=(0.0, None), key=lambda p: p[0])
         if s > 0:
             left.remove(y)
             x = (x + y[1]) / 2
             got += s * x
+            slipped += round((1 - s) / 0.06)
         total += x
     total += sum(z for _, z in left)
-    soft = got / total if total else 0.0
+    soft = got / total if total and (loose or slipped < SLIPS) else 0.0
     if len(a) != len(b):
         orders = lambda t: {"".join(t), "".join(reversed(t))}
-        soft = max([soft, *(word_similarity(x, y) - 0.02 for x in orders(a) for y in orders(b))])
+        soft = max([soft, *(0.98 - 0.06 * d for x in orders(a) for y in orders(b) if (d := distance(x, y, 1)) <= 1)])
+        if loose and any(worth(x, y) for x in a for y in b):
+            soft = max(soft, 0.5)
     return soft
 
 
-def weakly_alike(a: list[str], b: list[str]) -> bool:
-    """Whether one name may stand for the other: a part of its words, its initials, or both misspelt."""
+def trades_agree(a: list[str], b: list[str]) -> bool:
+    """Whether trade words of two names can be one trade's: more than half of the shorter list have a form in the other."""
     if not a or not b:
+        return True
+    few, many = sorted((a, b), key=len)
+    return 2 * sum(any(same_form(x, y) for y in many) for x in few) > len(few)
+
+
+def initials_of(a: list[str], b: list[str], trade: list[str]) -> bool:
+    """Whether a name is one word that is made of initials of the other's words, its trade's too."""
+    if len(a) != 1 or not 1 < len(a[0]) <= 5 or a[0] in b or not b:
         return False
-    few, many = sorted((list(a), list(b)), key=len)
-    if len(few) == 1 and len(few[0]) <= 4 and few[0] not in many:
-        initials = [w[0] for w in many]
-        return len(many) > 1 and all(i in few[0] for i in initials) and few[0][0] in initials
-    if len(few) < len(many):
-        return any(word_similarity(x, y) > 0 for x in few for y in many)
-    return soft_similarity(few, [1.0] * len(few), many, [1.0] * len(many)) >= 0.6
+    names, rest = [w[0] for w in b], list(a[0])
+    for i in names:
+        if i in rest:
+            rest.remove(i)
+    return len(rest) < len(a[0]) and (not trade or all(i in {w[0] for w in trade} for i in rest))
 
 
-@pandas_udf(T.BooleanType())
-def weak(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weakly_alike(list(x), list(y)) for x, y in zip(a, b)], dtype=bool)
+def name_similarity(a, wa, ta, b, wb, tb, shared: int) -> float:
+    """Soft similarity of two names by words, trade and, if they share one, numbers; with one initials are worth 0.6."""
+    s = soft_similarity(a, wa, b, wb, shared > 0)
+    if shared and (initials_of(a, b, tb) or initials_of(b, a, ta)):
+        s, ta = max(s, 0.6), []
+    if s and shared:
+        s += SHARED
+    if s and not trades_agree(ta, tb):
+        s -= OTHER_TRADE
+    return min(max(s, TWICE if shared > 1 else 0.0), 1.0)
 
 
 @pandas_udf(T.DoubleType())
-def soft(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
-    return pd.Series([soft_similarity(list(p), list(q), list(r), list(s)) for p, q, r, s in zip(a, wa, b, wb)], dtype=float)
+def soft(a: pd.Series, wa: pd.Series, ta: pd.Series, b: pd.Series, wb: pd.Series, tb: pd.Series, shared: pd.Series) -> pd.Series:
+    return pd.Series([name_similarity(list(p), list(q), list(t), list(r), list(s), list(u), k) for p, q, t, r, s, u, k in zip(a, wa, ta, b, wb, tb, shared)], dtype=float)
 
 
 def given_names_agree(a: str, b: str) -> Column:
@@ -88,95 +116,77 @@ def given_names_agree(a: str, b: str) -> Column:
     )
 
 
-def shortened(w: str, most: int) -> set[str]:
-    """A word with up to `most` letters left out."""
-    return {"".join(c) for k in range(min(most, len(w)) + 1) for c in combinations(w, len(w) - k)}
+def slip_keys(w: str, most: int = 2) -> list[str]:
+    """Keys of a word: it, and what is left with as many letters left out as it may have slips, `most` at most.
 
-
-def slip_keys(w: str, probe: bool) -> set[str]:
-    """Keys of a word; each two words with word_similarity > 0 share one, if one is a probe.
-
-    Words of up to two slips meet in what is left after as many letters are left out of
-    each. With three slips (ten letters or more on both sides), one half of the word has
-    one slip at most: the halves, cut at two neighbouring places, as no swap lies across
-    both, meet in the beginnings and ends of the probe that can stand for them.
+    Each two words within these slips share one: a slip leaves one letter out of either
+    (a swap of neighbours too), and both may have the slips of the shorter.
     """
-    n = len(w)
-    keys = {"=" + s for s in shortened(w, min(slips(n), 2))} if n < 12 else set()
-    if n >= 10:
-        sizes = {(n // 2 + i, (n + 1) // 2 - i) for i in (0, 1)}
-        if probe:
-            cuts = {(m // 2 + i, (m + 1) // 2 - i) for m in range(max(n - 3, 10), n + 4) for i in (0, 1)}
-            sizes = {(h + i, t + i) for h, t in cuts for i in (-1, 0, 1)}
-        keys |= {"<" + s for h in {h for h, _ in sizes} for s in shortened(w[:h], 1)}
-        keys |= {">" + s for t in {t for _, t in sizes} for s in shortened(w[max(n - t, 0) :], 1)}
-    return keys
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def own_keys(w: pd.Series) -> pd.Series:
-    return w.map(lambda x: list(slip_keys(x, False)))
+    return list(shortened(w, min(slips(len(w)), most)))
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
-def probe_keys(w: pd.Series) -> pd.Series:
-    return w.map(lambda x: list(slip_keys(x, True)))
-
+def keys_of(w: pd.Series, joined: pd.Series) -> pd.Series:
+    return pd.Series([slip_keys(x, 1 if j else 2) for x, j in zip(w, joined)])
 
-@pandas_udf(T.BooleanType())
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([word_similarity(x, y) > 0 for x, y in zip(a, b)], dtype=bool)
 
+def variants(left: DataFrame, right: DataFrame, shared: DataFrame) -> DataFrame:
+    """Which names of two lists are spellings of one: l, r, shared, sim.
 
-def variants(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Which names of two lists are spellings of one: l, r, sim.
+    Both lists have n (unique), core (array of words), firsts, initial, trade as read_name
+    gives them; shared has pairs l, r of names whose records share a number, and k, how
+    many kinds of numbers. A word weighs
+    log((names + SMOOTH) / names that have it).
 
-    Both lists have n (unique), core (array of words), firsts, initial as split_name
-    gives them. A word weighs log((names + SMOOTH) / names that have it). Two names are
-    compared if a word of one's prefix - its heaviest words, down to where the rest is at
-    most REST of its weight - is alike to a word of the other, or if their joined writings
-    are alike and they differ in the number of words; no pair that the verification
-    accepts is without this. Alike words are found by slip_keys. Verified by soft token
-    similarity with the words' own weights, so rare words count more, and by the given
-    names.
+    Pairs are found by elements in common: the numbers they share, or an element of the
+    prefix of one, its heaviest word, with its slip keys, and any word of the other. A name
+    of similarity SIMILAR has no share of 0.2 of its weight without partner, and the heaviest
+    word of a name of up to four has more, so without a number no pair is missed; names of
+    more words put all words into the prefix; a joined writing, within a slip, stands for the words
+    of a name with fewer.
+    Pairs without a number go on only if their joined writings (in either order) are within
+    what slips explain. All are verified by name_similarity, so rare words count more, and
+    by the given names.
 
     * names without words (null, empty, blanks, trade words only) match nothing
     * repeated names must be made unique before; all names are used, none is capped
     """
-    both = left.select("n", "core", "firsts", "initial", F.lit("l").alias("side")).unionByName(right.select("n", "core", "firsts", "initial", F.lit("r").alias("side")))
-    both = both.filter(F.size("core") > 0)
+    cols = ("core", "firsts", "initial", "trade")
+    both = left.select("n", *cols, F.lit("l").alias("side")).unionByName(right.select("n", *cols, F.lit("r").alias("side"))).filter(F.size("core") > 0)
     total = both.count() + SMOOTH
-    joined = F.array(F.array_join("core", ""), F.array_join(F.reverse("core"), ""))
-    # names and elements go by their hashes, which are shorter
-    sets = both.select("side", F.xxhash64("n").alias("n"), F.explode(F.array_distinct(F.concat("core", joined))).alias("x"))
-    weights = cut(sets.groupBy(F.xxhash64(F.concat(F.lit("="), "x")).alias("e")).agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("w")))
-    words = both.select("side", F.xxhash64("n").alias("n"), F.size("core").alias("k"), F.posexplode("core").alias("i", "x")).withColumn("e", F.xxhash64(F.concat(F.lit("="), "x"))).join(weights, "e")
-    heaviest = W.partitionBy("side", "n").orderBy(F.desc("w"), "i")
-    ahead = F.coalesce(F.sum("w").over(heaviest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    whole = F.sum("w").over(W.partitionBy("side", "n"))
-    # a little more than REST, for rounding
-    words = words.select("side", "n", "k", "x", F.lit(True).alias("word"), (ahead <= whole * (REST + 1e-6)).alias("first"), (F.col("k") == 1).alias("joined"))
-    writings = both.filter(F.size("core") > 1).select("side", F.xxhash64("n").alias("n"), F.size("core").alias("k"), F.explode(F.array_distinct(joined)).alias("x"))
-    writings = writings.select("side", "n", "k", "x", F.lit(False).alias("word"), F.lit(False).alias("first"), F.lit(True).alias("joined"))
-    parts = cut(words.unionByName(writings))
-
-    def part(side: str) -> DataFrame:
-        return parts.filter(F.col("side") == side).select(F.col("n").alias(f"{side}h"), *[F.col(c).alias(f"{side}{c}") for c in ("k", "x", "word", "first", "joined")])
-
-    def keyed(side: str, keys) -> DataFrame:
-        return part(side).select(f"{side}x").distinct().select(f"{side}x", F.explode(keys(f"{side}x")).alias("key")).select(f"{side}x", F.xxhash64("key").alias("key"))
-
-    near = keyed("l", own_keys).join(keyed("r", probe_keys), "key").filter(F.abs(F.length("lx") - F.length("rx")) <= 3)
-    near = cut(near.select("lx", "rx").distinct().filter(alike("lx", "rx")))
-    met = near.join(part("l"), "lx").join(part("r"), "rx")
-    pairs = met.filter((F.col("lword") & F.col("rword") & (F.col("lfirst") | F.col("rfirst"))) | (F.col("ljoined") & F.col("rjoined") & (F.col("lk") != F.col("rk"))))
-    pairs = pairs.select("lh", "rh").distinct()
-    own = both.select("side", "n", "firsts", "initial", F.posexplode("core").alias("i", "x")).withColumn("e", F.xxhash64(F.concat(F.lit("="), "x"))).join(weights, "e")
-    own = own.groupBy("side", "n").agg(F.first("firsts").alias("firsts"), F.first("initial").alias("initial"), F.array_sort(F.collect_list(F.struct("i", "x", "w"))).alias("c"))
-    own = own.select("side", F.xxhash64("n").alias("h"), "n", "firsts", "initial", F.col("c.x").alias("x"), F.col("c.w").alias("w"))
+    df = both.select(F.explode("core").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("f"))
+    words = both.select("side", "n", *cols, F.posexplode("core").alias("i", "x")).join(df, "x")
+    entry = F.struct((-F.col("f")).alias("f"), "i", "x")
+    own = words.groupBy("side", "n").agg(*[F.first(c).alias(c) for c in ("firsts", "initial", "trade")], F.array_sort(F.collect_list(F.struct("i", "x", "f"))).alias("c"), F.max(entry).alias("h"))
+    weight = F.transform("c", lambda e: F.log(F.lit(float(total)) / e["f"]))
+    own = cut(own.select("side", "n", F.xxhash64("n").alias("h"), "firsts", "initial", "trade", F.col("c.x").alias("core"), weight.alias("w"), F.col("h.x").alias("heavy")))
+
+    def elements(side: str) -> DataFrame:
+        """Words by which a name is found: on the left its prefix, on the right all; and its joined writing."""
+        rows = own.filter(F.col("side") == side)
+        prefix = F.col("core") if side == "r" else F.when(F.size("core") > 4, F.col("core")).otherwise(F.array("heavy"))
+        joined = F.when(F.size("core") > 1, F.array(F.array_join("core", ""), F.array_join(F.reverse("core"), ""))).otherwise(F.array().cast("array<string>"))
+        entries = F.concat(F.transform(prefix, lambda x: F.named_struct(F.lit("x"), x, F.lit("g"), F.lit(False))), F.transform(joined, lambda x: F.named_struct(F.lit("x"), x, F.lit("g"), F.lit(True))))
+        many = F.size("core") > 2
+        whole = (F.array_join("core", "").alias(f"{side}j"), F.array_join(F.reverse("core"), "").alias(f"{side}b"), many.alias(f"{side}m"))
+        return rows.select(F.col("h").alias(side), *whole, F.explode(entries).alias("e")).select(side, *[f"{side}{c}" for c in "jbm"], F.col("e.x").alias(f"{side}x"), F.col("e.g").alias(f"{side}g"))
+
+    el, er = elements("l"), elements("r")
+
+    def keyed(e: DataFrame, side: str) -> DataFrame:
+        x = e.select(f"{side}x", f"{side}g").distinct()
+        return x.select("*", F.explode(keys_of(f"{side}x", f"{side}g")).alias("key")).select(f"{side}x", f"{side}g", F.xxhash64("key").alias("key"))
+
+    near = keyed(el, "l").join(keyed(er, "r"), "key").filter("not (lg and rg)").filter(F.levenshtein("lx", "rx", 4) >= 0).select("lx", "lg", "rx", "rg").distinct()
+    # told apart before anything of the pair is shuffled
+    close = (F.levenshtein("lj", "rj", 4) >= 0) | (F.levenshtein("lj", "rb", 4) >= 0) | F.col("lm") | F.col("rm")
+    found = near.join(el, ["lx", "lg"]).join(er, ["rx", "rg"]).filter(close).select("l", "r", F.lit(0).alias("shared"))
+    pairs = found.unionByName(shared.select(F.xxhash64("l").alias("l"), F.xxhash64("r").alias("r"), F.col("k").cast("int").alias("shared"))).distinct()
 
     def of(side: str) -> DataFrame:
-        return own.filter(F.col("side") == side).select(F.col("h").alias(f"{side}h"), F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("firsts", "initial", "x", "w")])
+        return own.filter(F.col("side") == side).select(F.col("h").alias(side), F.col("n").alias(f"{side}n"), *[F.col(c).alias(f"{side}_{c}") for c in (*cols, "w")])
 
-    met = pairs.join(of("l"), "lh").join(of("r"), "rh").filter(given_names_agree("l_", "r_"))
-    return met.select("l", "r", soft("l_x", "l_w", "r_x", "r_w").alias("sim")).filter(F.col("sim") >= SIMILAR)
+    agree = given_names_agree("l_", "r_") | ((F.col("shared") > 0) & ((F.size("l_core") > 1) | (F.size("r_core") > 1)))
+    met = pairs.join(of("l"), "l").join(of("r"), "r").filter(agree)
+    sim = soft("l_core", "l_w", "l_trade", "r_core", "r_w", "r_trade", "shared")
+    return cut(met.select(F.col("ln").alias("l"), F.col("rn").alias("r"), "shared", sim.alias("sim"))).filter(F.col("sim") >= SIMILAR)

@@ -88,23 +88,29 @@ def live_vendors(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of live vendors at one building."""
-    return same_building(cut(vendor_records(spark, sf_dir)), "vendor_id")
+    return same_building(cut(take_apart(live_vendors(spark, sf_dir), *FIELDS, ["vendor_id"], trades=False)), "vendor_id")
 
 FIELDS = ("display_name", "email", "phone", "ein", "street_address", "city", "state", "zip")
 
 
-def vendor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return take_apart(live_vendors(spark, sf_dir), *FIELDS, ["vendor_id"])
-
-
-def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return take_apart(table(spark, sf_dir, "staged_customers"), *FIELDS, ["customer_id"])
+def records(**tables: DataFrame) -> dict[str, DataFrame]:
+    """Rows of several tables (_id and FIELDS) taken apart together, so that all are read by one learned vocabulary."""
+    rows = None
+    for side, t in tables.items():
+        part = t.select(F.lit(side).alias("_side"), "_id", *FIELDS)
+        rows = part if rows is None else rows.unionByName(part)
+    apart = cut(take_apart(rows, *FIELDS, ["_side", "_id"]))
+    return {side: apart.filter(F.col("_side") == side) for side in tables}
 
 
 @R.query("p2_matches")
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vendors and customers that are the same, each with its confidence."""
-    return match(vendor_records(spark, sf_dir), customer_records(spark, sf_dir), "vendor_id", "customer_id")
+    v = live_vendors(spark, sf_dir).withColumn("_id", F.col("vendor_id"))
+    c = table(spark, sf_dir, "staged_customers").withColumn("_id", F.col("customer_id"))
+    r = records(v=v, c=c)
+    rename = lambda side, name: r[side].withColumnRenamed("_id", name)
+    return match(rename("v", "vendor_id"), rename("c", "customer_id"), "vendor_id", "customer_id")
 
 
 @R.query("p2_found")
@@ -131,7 +137,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.select(F.concat(F.lit("vendor:"), "vendor_id").alias("_id"), *FIELDS).unionByName(c.select(F.concat(F.lit("customer:"), "customer_id").alias("_id"), *FIELDS))
     names = F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce(F.from_json("name_variants", "array<string>"), F.array().cast("array<string>")))))
     g = golden.select("golden_record_id", names.alias("display_name"), "email", F.col("phone_digits").alias("phone"), "ein", "street_address", "city", "state", F.col("zip5").alias("zip"))
-    found = link_to_masters(take_apart(rows, *FIELDS, ["_id"]), take_apart(g, *FIELDS, ["golden_record_id"]), "_id", "golden_record_id")
+    r = records(rows=rows, masters=g.withColumnRenamed("golden_record_id", "_id"))
+    found = link_to_masters(r["rows"], r["masters"].withColumnRenamed("_id", "golden_record_id"), "_id", "golden_record_id")
     kind = F.substring_index("_id", ":", 1)
     return found.select(kind.alias("record_type"), F.substring_index("_id", ":", -1).cast("long").alias("record_id"), "golden_record_id")
 

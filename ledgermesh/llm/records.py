@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -12,21 +13,14 @@ from pyspark.sql.functions import pandas_udf
 
 from ..session import cut
 
-# Words of legal form, of trade, and titles, as people write and shorten them.
+# Words of legal form, articles and titles; they say nothing about whose name it is.
 LEGAL = set(
-    "inc incorporated llc lp ltd limited partnership llp corp corporation co company sons gp pllc plc the and of a an new contractor"
-    " mr mrs ms dr jr sr ap ar dba attn".split()
-)
-TRADE = (
-    "roofing plumbing landscaping landscape heating conditioning medical distribution distributors automotive auto parts equipment rental rentals"
-    " international foods food freight services service building supply supplies office products security systems technology technologies"
-    " group manufacturing packaging printing printers catering caterers construction janitorial electric electrical air"
-).split()
-SHORT_TRADE = set(
-    "svc svcs serv bldg sply supp mfg mfr manuf med dist distrib elec htg ac int intl fds fd frt frght eqpt eq rntl equip prtg prt constr constrn"
-    " const tech technol grp sys syst sec secur pkg pkging pkng pts prod prods ofc off jan janit lndscp plbg plumb plumbng roofg roof heat"
-    " cater clean print inte roofng manufact distr".split()
+    "inc incorporated llc lp ltd limited partnership llp corp corporation co company sons gp pllc plc the and of a an"
+    " mr mrs ms dr jr sr dba attn".split()
 )
+#: A word is common (trade, activity, title) if it goes with so large a share of all names' rarest words, at least LEAST of
+#: them, and no one of them makes up more than TOP of its uses (so a much repeated name is not taken for a trade).
+COMMON, LEAST, TOP = 0.0012, 6, 0.25
 # Given names and the short forms in use for them.
 NICKNAMES = {
     "elizabeth": "liz lizzie beth betsy betty eliza lisa", "victoria": "vicky vicki tori vic", "margaret": "meg maggie peggy marge",
@@ -42,7 +36,6 @@ for _name, _forms in NICKNAMES.items():
     for _form in (_name, *_forms.split()):
         SHORT_FORMS.setdefault(_form, []).append(_name)
 GIVEN_LETTERS = [(k, set(k)) for k in NICKNAMES]
-TRADE_LETTERS = [(t, set(t)) for t in TRADE]
 # Street types, compass points, units, ordinals, parts of town names.
 STREET = {
     "street": "street str st", "avenue": "avenue ave av", "road": "road rd", "drive": "drive dr drv", "lane": "lane ln", "court": "court ct crt", "place": "place pl",
@@ -59,13 +52,13 @@ ORDINALS = {
         " eighteenth nineteenth twentieth".split()
     )
 }
+# Short forms in town names, as the postal service lists them.
 TOWN = {
-    "ft": "fort", "mt": "mount", "st": "saint", "pt": "point", "jct": "junction", "xing": "crossing", "hgts": "heights", "hts": "heights", "spgs": "springs", "fls": "falls",
-    "lk": "lake", "n": "north", "s": "south", "e": "east", "w": "west", "ldg": "landing", "lndg": "landing", "gln": "glen", "grv": "grove", "crk": "creek", "holw": "hollow", "rdg": "ridge",
-    "mls": "mills", "flts": "flats", "ps": "pass", "by": "bay", "no": "north", "so": "south",
+    "ft": "fort", "mt": "mount", "st": "saint", "pt": "point", "jct": "junction", "xing": "crossing", "hts": "heights", "spgs": "springs", "fls": "falls",
+    "lk": "lake", "n": "north", "s": "south", "e": "east", "w": "west", "lndg": "landing", "gln": "glen", "grv": "grove", "crk": "creek", "holw": "hollow", "rdg": "ridge",
+    "mls": "mills", "flts": "flats", "no": "north", "so": "south",
 }
 FILLER_EINS = {"999999999", "000000000", "123456789"}
-FREE_MAIL = ("inboxly.example", "quickletter.example", "postmail.example")
 FILLER_MAIL = set("none na n/a unknown test noemail".split())
 
 
@@ -106,44 +99,92 @@ def given(word: str) -> tuple[str, ...]:
     return tuple(k for k, own in GIVEN_LETTERS if abs(len(word) - len(k)) <= 1 and len(letters ^ own) <= 2 and distance(word, k, 1) <= 1)
 
 
-@lru_cache(maxsize=200_000)
-def _trade(w: str) -> bool:
-    if w in SHORT_TRADE or any(len(w) >= 3 and t.startswith(w) for t in TRADE):
+def stands_for(w: str, c: str) -> bool:
+    """Whether a word can stand for a common one as typed: equal, another ending, shortened by leaving letters out, or a slip."""
+    if w == c:
         return True
-    if len(w) < 6:
-        return False
-    letters, most = set(w), 2 if len(w) >= 9 else 1
-    return any(abs(len(w) - len(t)) <= most and len(letters ^ own) <= 2 * most and distance(w, t, most) <= most for t, own in TRADE_LETTERS)
+    few, most = min(len(w), len(c)), 1 if min(len(w), len(c)) < 9 else 2
+    if w[0] == c[0] and len(w) >= 2:
+        same = next((i for i, (x, y) in enumerate(zip(w, c)) if x != y), few)
+        if same >= max(4, few - 3) or (same == len(w) >= 3):
+            return True
+        left = iter(c)
+        if len(w) <= 6 and len(w) < len(c) and all(x in left for x in w):
+            return True
+    return few >= 6 and distance(w, c, most) <= most
+
+
+def same_form(a: str, b: str) -> bool:
+    return stands_for(a, b) or stands_for(b, a)
 
 
-def split_name(text: str | None) -> tuple[list[str], list[str], str, str]:
-    """Surname or firm words (sorted), given names it can stand for, an initial, a note in brackets."""
+def name_words(text: str | None) -> tuple[list[str], list[str]]:
+    """The words of a name in order, and what may be a town beside it: in brackets, after a dash, a comma or `of`."""
     if text is None:
-        return [], [], "", ""
+        return [], []
     t = plain(text)
-    note = " ".join(re.findall(r"\(([^)]*)\)", t))
+    notes = re.findall(r"\(([^)]*)\)", t)
     t = re.sub(r"\([^)]*\)|#\s*\d+|\*+", " ", t)
     t = re.sub(r"\s-\s(AP|AR)\b", " ", t, flags=re.I)
+    notes += [m[-1] for m in re.findall(r"(\s-\s|,|\bof\b)(?=([^,(]*)$)", t, flags=re.I)]
     t = re.sub(r"([a-z])([A-Z][a-z])", r"\1 \2", t)
-    t = re.sub(r"\b([A-Za-z])\.(?=[A-Za-z]\b)", r"\1", t).lower().replace("int'l", "intl").replace("a/c", "ac").replace("'", "")
-    words = [w for w in re.findall(r"[a-z]+", re.sub(r"\bl l c\b|\bl p\b|\bl\.p\.", " ", re.sub(r"[./]", " ", t)))]
-    core, firsts, initial = [], [], ""
+    t = re.sub(r"\b([A-Za-z])\.(?=[A-Za-z]\b)", r"\1", t).lower().replace("int'l", "intl").replace("a/c", "air").replace("'", "")
+    words = re.findall(r"[a-z]+", re.sub(r"\bl l c\b|\bl p\b|\bl\.p\.", " ", re.sub(r"[./]", " ", t)))
+    return words, [n.strip().lower() for n in notes if re.search("[A-Za-z]{3}", n)]
+
+
+def letters(text: str) -> str:
+    return re.sub("[^a-z]", "", text)
+
+
+def town_of(name: str, towns: dict[str, str]) -> str:
+    """The known town of these letters, or the only one that shares all but one of them."""
+    if name in towns or len(name) < 6:
+        return towns.get(name, "")
+    near = {t for k in shortened(name, 1) for t in (towns.get(k), towns.get("~" + k)) if t}
+    return near.pop() if len(near) == 1 else ""
+
+
+def shortened(w: str, most: int) -> set[str]:
+    """A word with up to `most` letters left out."""
+    return {"".join(c) for k in range(min(most, len(w)) + 1) for c in combinations(w, len(w) - k)}
+
+
+def read_name(words: list[str], notes: list[str], common: dict[str, list[str]], towns: dict[str, str]) -> tuple[list[str], list[str], str, list[str], str]:
+    """Surname or firm words (sorted), given names it can stand for, an initial, trade words, a town named beside it.
+
+    common: the learned common words by first letter; towns: known towns by their letters,
+    which may also end the name.
+    A rare word that shortens or misspells a common one is a trade word too.
+    """
+    town = ""
+    for n in notes:
+        if not town and (town := town_of(letters(" ".join(TOWN.get(w, w) for w in re.findall("[a-z]+", n))), towns)):
+            tail = re.findall("[a-z]+", n)
+            if len(words) > len(tail) and words[-len(tail) :] == tail:
+                words = words[: -len(tail)]
+    for k in (3, 2, 1):
+        if not town and len(words) > k + 1 and (town := towns.get("".join(TOWN.get(w, w) for w in words[-k:]), "")):
+            words = words[:-k]
+    core, firsts, initial, trade = [], [], "", []
     for w in words:
-        if w in LEGAL or _trade(w):
+        if w in LEGAL:
             continue
         if len(w) == 1:
             initial = initial or w
         elif not firsts and (g := given(w)):
             firsts = list(g)
+        elif any(stands_for(w, c) for c in common.get(w[0], ())):
+            trade.append(w)
         else:
             core.append(w)
-    return sorted(set(core)), firsts, initial if not firsts else "", note.lower()
+    return sorted(set(core)), firsts, initial if not firsts else "", sorted(set(trade)), town
 
 
-def split_address(text: str | None) -> tuple[str, str, str, str, str]:
-    """House number, street name (joined), street type, compass point, town written in it."""
+def split_address(text: str | None) -> tuple[str, str, str, str, str, list[str]]:
+    """House number, street name (joined), street type, compass point, town written in it, the street's words as written."""
     if text is None or not re.search(r"\d", text):
-        return "", "", "", "", ""
+        return "", "", "", "", "", []
     t = plain(text).lower()
     t = re.sub(rf"\b({UNITS})\b\.?\s*#?\s*([a-z]|\d+[a-z]?)\b", " , ", t)
     town, parts = "", []
@@ -160,7 +201,7 @@ def split_address(text: str | None) -> tuple[str, str, str, str, str]:
     if len(re.findall(r"(?<![\w])#?\d+", re.sub(r"\d+(st|nd|rd|th)\b", "", body))) > 1:
         body = re.sub(r"#\s*\d+", " ", body)
     words = re.findall(r"\d+(?:st|nd|rd|th)\b|\d+(?:\s*-\s*\d+)?[a-z]?\b|[a-z]+", body.replace(".", " ").replace("'", ""))
-    house, name, kind, point = "", [], "", ""
+    house, name, kind, point, written = "", [], "", "", []
     for i, w in enumerate(words):
         after = words[i + 1] if i + 1 < len(words) else ""
         if re.fullmatch(r"\d+(st|nd|rd|th)", w):
@@ -177,26 +218,79 @@ def split_address(text: str | None) -> tuple[str, str, str, str, str]:
             kind = TYPES[w]
         elif w in TYPES and not name and not kind and after in ("", *POINTS):
             kind = TYPES[w]
-        elif len(w) > 1:
+        elif len(w) > 1 or name:
             name.append(w)
-    return house, "".join(name), kind, point, town
+        else:
+            continue
+        written += [w] if w[0].isalpha() or not w.isdigit() and w[-1:] in "tdh" else []
+    return house, "".join(name), kind, point, town, written
 
 
 _S, _A = T.StringType(), T.ArrayType(T.StringType())
-NAME = T.StructType().add("core", _A).add("firsts", _A).add("initial", _S).add("note", _S)
-ADDRESS = T.StructType().add("house", _S).add("street", _S).add("kind", _S).add("point", _S).add("town", _S)
+NAME = T.StructType().add("core", _A).add("firsts", _A).add("initial", _S).add("trade", _A).add("town", _S)
+ADDRESS = T.StructType().add("house", _S).add("street", _S).add("kind", _S).add("point", _S).add("town", _S).add("words", _A)
+WORDS = T.StructType().add("words", _A).add("notes", _A)
 
 
-@pandas_udf(NAME)
-def name_parts(text: pd.Series) -> pd.DataFrame:
-    """split_name over a column; texts over 300 characters are no names and count as empty."""
-    return pd.DataFrame([split_name(x if x and len(x) <= 300 else None) for x in text], columns=["core", "firsts", "initial", "note"])
+@pandas_udf(WORDS)
+def words_of(text: pd.Series) -> pd.DataFrame:
+    """name_words over a column."""
+    return pd.DataFrame([name_words(x) for x in text], columns=["words", "notes"])
 
 
 @pandas_udf(ADDRESS)
 def address_parts(text: pd.Series) -> pd.DataFrame:
-    """split_address over a column; texts over 500 characters are no addresses and count as empty."""
-    return pd.DataFrame([split_address(x if x and len(x) <= 500 else None) for x in text], columns=["house", "street", "kind", "point", "town"])
+    """split_address over a column."""
+    return pd.DataFrame([split_address(x) for x in text], columns=["house", "street", "kind", "point", "town", "words"])
+
+
+def reader(common: list[str], towns: dict[str, str]):
+    """read_name over columns of words and notes, with a learned vocabulary."""
+    by_letter: dict[str, list[str]] = {}
+    for w in common:
+        by_letter.setdefault(w[0], []).append(w)
+
+    @pandas_udf(NAME)
+    def read(words: pd.Series, notes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_name(list(w), list(n), by_letter, towns) for w, n in zip(words, notes)], columns=["core", "firsts", "initial", "trade", "town"])
+
+    return read
+
+
+def common_words(names: DataFrame) -> list[str]:
+    """The common words of a column _words, learned from all names.
+
+    Each word is counted by the longest other word it stands with, of those that are not
+    often used themselves if there are any. A common word stands with many different ones;
+    a surname, however often repeated, with few or mostly one. Both lists collected are
+    bounded by the rule: a name has few words, and each listed word takes COMMON of all
+    names at least.
+    """
+    w = F.filter("_words", lambda x: (F.length(x) > 1) & ~x.isin(*LEGAL))
+    rows = names.select(F.array_distinct(w).alias("w")).filter(F.size("w") > 1)
+    least = max(LEAST, COMMON * names.count())
+    often = [r[0] for r in rows.select(F.explode("w").alias("x")).groupBy("x").count().filter(F.col("count") >= least).select("x").collect()]
+    if not often:
+        return []
+    ranked = F.expr("reverse(array_sort(transform(w, y -> struct(array_contains(r, y) AS rare, length(y) AS n, y AS x))))")
+    rare = F.filter("w", lambda x: ~x.isin(*often))
+    split = rows.select("w", rare.alias("r")).select(F.filter("w", lambda x: x.isin(*often)).alias("o"), ranked.alias("c"))
+    other = F.when(F.col("c")[0]["x"] == F.col("x"), F.col("c")[1]["x"]).otherwise(F.col("c")[0]["x"])
+    uses = split.select(F.explode("o").alias("x"), "c").select("x", other.alias("other")).groupBy("x", "other").agg(F.count(F.lit(1)).alias("n"))
+    uses = uses.groupBy("x").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max("n").alias("top"))
+    found = uses.filter((F.col("k") >= least) & (F.col("top") <= TOP * F.col("n"))).select("x").collect()
+    return sorted(r[0] for r in found if not given(r[0]))
+
+
+def known_towns(rows: DataFrame) -> dict[str, str]:
+    """Towns of a column _city of tidied names, by their letters, and by these less one after a "~".
+
+    A town is known if a hundred-thousandth of the rows names it, five at least, so there are not more than 100,000.
+    """
+    total = rows.count()
+    n = rows.filter(F.length("_city") > 3).groupBy("_city").count().filter(F.col("count") >= max(5, total * 1e-5))
+    whole = {letters(r[0]): r[0] for r in n.select("_city").collect()}
+    return {"~" + k: t for w, t in whole.items() for k in shortened(w, 1)} | whole
 
 
 def digits(c: Column) -> Column:
@@ -225,11 +319,19 @@ def usable_email(c: Column) -> Column:
     return F.when(good & ~filler, e)
 
 
-def email_name(c: Column) -> Column:
-    """The joined name that an address shows: of a firm's domain, or the letters before a free mailer."""
-    e = usable_email(c)
+def free_mailers(rows: DataFrame) -> list[str]:
+    """Domains of a column _email under which many different mailboxes write: a thousandth of all rows, twenty at least."""
+    local = F.regexp_replace(F.substring_index("_email", "@", 1), "[^a-z]", "")
+    boxes = rows.groupBy(F.substring_index("_email", "@", -1).alias("d")).agg(F.approx_count_distinct(local, 0.1).alias("k"), F.count(F.lit(1)).alias("n"))
+    total = rows.count()
+    return [r[0] for r in boxes.filter((F.col("k") >= max(20, total * 1e-3)) & F.col("d").isNotNull()).select("d").collect()]
+
+
+def email_name(e: Column, free: list[str]) -> Column:
+    """The joined name that a usable address shows: of a firm's domain, or the letters before a free mailer."""
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-    return F.when(domain.isin(*FREE_MAIL), F.regexp_replace(local, "[^a-z]", "")).otherwise(F.substring_index(domain, ".", 1))
+    own = F.substring_index(domain, ".", 1)
+    return F.when(domain.isin(*free), F.regexp_replace(local, "[^a-z]", "")).otherwise(own) if free else own
 
 
 def tidy_town(c: Column) -> Column:
@@ -250,8 +352,8 @@ def with_towns(rows: DataFrame) -> DataFrame:
 
     Learned from all rows: of each zip area (three digits) the town most written, if
     more than half of its rows agree; a town written otherwise is taken for the most
-    written one of its state within two edits that shares its first or last three
-    letters. The zip area decides where there is one.
+    written one of its state within two edits, or that it shortens by leaving letters out,
+    that shares its first or last three letters. The zip area decides where there is one.
     """
     # all is learned and decided on the distinct places as written; rows are joined once
     keys = ["_s", "_c", "_area"]
@@ -264,7 +366,7 @@ def with_towns(rows: DataFrame) -> DataFrame:
     other = keyed.select("_s", "_key", F.col("_c").alias("_good"), F.col("n").alias("_m"))
     near = (
         keyed.join(other, ["_s", "_key"])
-        .filter((F.col("_m") > 3 * F.col("n")) & (F.levenshtein("_c", "_good", 2) >= 0))
+        .filter((F.col("_m") > 3 * F.col("n")) & ((F.levenshtein("_c", "_good", 2) >= 0) | F.expr("length(_c) > 5 and _good like regexp_replace(_c, '(.)', '$1%')")))
         .groupBy("_s", "_c")
         .agg(F.max_by("_good", F.struct("_m", "_good")).alias("_good"))
     )
@@ -286,27 +388,37 @@ def with_towns(rows: DataFrame) -> DataFrame:
     return rows.join(known, keys, "left").withColumn("_state", F.coalesce("_ts", "_state")).drop("_ts", *keys)
 
 
-def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, street: str, city: str, state: str, zip_: str, keep: list[str]) -> DataFrame:
-    """One row for each row, with `keep` and the compared fields; blank and filler values are null."""
-    n, a = F.col("_n"), F.col("_a")
-    staged = rows.select(
+def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, street: str, city: str, state: str, zip_: str, keep: list[str], trades: bool = True) -> DataFrame:
+    """One row for each row, with `keep` and the compared fields; blank and filler values are null.
+
+    What words are common (trades and their short forms), which domains are free mailers
+    and which towns there are is learned from all the rows given; texts of any length
+    are read whole. Without `trades` names are only read for towns, not for trades.
+    """
+    w, a = F.col("_w"), F.col("_a")
+    text = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    staged = cut(rows.select(
         *keep,
-        name_parts(F.col(name)).alias("_n"),
+        words_of(F.col(name)).alias("_w"),
         address_parts(F.col(street)).alias("_a"),
         usable_ein(F.col(ein)).alias("_ein"),
         usable_phone(F.col(phone)).alias("_phone"),
-        email_name(F.col(email)).alias("_mail"),
+        usable_email(F.col(email)).alias("_email"),
         F.expr(f"nullif(substring(upper(regexp_replace(trim(`{state}`), '[^A-Za-z]', '')), 1, 2), '')").alias("_state"),
         usable_zip(F.col(zip_)).alias("_zip"),
         F.col(city).alias("_c"),
-    )
-    staged = staged.select(
-        *keep, "_ein", "_phone", "_mail", "_state", "_zip",
-        tidy_town(F.coalesce(F.expr("nullif(trim(_c), '')"), F.expr("nullif(_a.town, '')"), F.expr("nullif(_n.note, '')"))).alias("_city"),
-        n["core"].alias("_core"), n["firsts"].alias("_firsts"), n["initial"].alias("_initial"),
-        a["house"].alias("_house"), a["street"].alias("_street"), a["kind"].alias("_kind"), a["point"].alias("_point"),
+    ).select(
+        *keep, "_ein", "_phone", "_email", "_state", "_zip", w["words"].alias("_words"), w["notes"].alias("_notes"),
+        tidy_town(F.coalesce(text(F.col("_c")), text(a["town"]))).alias("_city"),
+        a["house"].alias("_house"), a["street"].alias("_street"), a["kind"].alias("_kind"), a["point"].alias("_point"), a["words"].alias("_address"),
+    ))
+    read = reader(common_words(staged) if trades else [], known_towns(staged))
+    free = free_mailers(staged)
+    n = F.col("_n")
+    staged = staged.withColumn("_n", read("_words", "_notes")).select(
+        *keep, "_ein", "_phone", email_name(F.col("_email"), free).alias("_mail"), "_state", "_zip", "_house", "_street", "_kind", "_point", "_address",
+        n["core"].alias("_core"), n["firsts"].alias("_firsts"), n["initial"].alias("_initial"), n["trade"].alias("_trade"),
+        F.coalesce(text(F.col("_city")), n["town"], F.lit("")).alias("_city"),
     )
-    # notes like (new) are no towns
     staged = staged.withColumn("_city", F.when(F.length("_city") > 3, F.col("_city")).otherwise(""))
     return with_towns(cut(staged))
-

@@ -12,9 +12,9 @@ from ledgermesh.llm import tokenizer as T
 from ledgermesh.llm.addresses import align, same_building
 from ledgermesh.llm.components import components
 from ledgermesh.llm.matching import link_to_masters, match
-from ledgermesh.llm.names import SIMILAR, SMOOTH, slip_keys, soft_similarity, variants, weakly_alike, word_similarity
+from ledgermesh.llm.names import SIMILAR, SMOOTH, name_similarity, slip_keys, soft_similarity, trades_agree, variants, word_similarity
 from ledgermesh.llm.packing import encoder, pack
-from ledgermesh.llm.records import distance, split_address, split_name, take_apart, usable_email
+from ledgermesh.llm.records import common_words, distance, letters, name_words, read_name, split_address, stands_for, take_apart, usable_email
 from ledgermesh.llm.splitting import Encode, split_oversized, split_text
 from ledgermesh.llm.survivors import survivors
 
@@ -108,17 +108,40 @@ def test_components(spark):
 
 
 def test_name_and_address_parts():
-    assert split_name("THE DRAVIND AND PRIKAX TECHNOLOGY Grp. L L C #14")[0] == ["dravind", "prikax"]
-    assert split_name("Kepiwedrith, Yoli H. dba Intl Foods")[:2] == (["kepiwedrith"], ["yolanda"])
-    assert split_name(None) == ([], [], "", "") and split_name(" ** ") == ([], [], "", "")
+    common = {"t": ["technology"], "f": ["foods"], "i": ["international"], "g": ["group"]}
+    towns = {letters(t): t for t in ("umber falls", "fort denholm")}
+    read = lambda t: read_name(*name_words(t), common, towns)
+    assert read("THE DRAVIND AND PRIKAX TECHNOLOGY Grp. L L C #14")[0] == ["dravind", "prikax"]
+    assert read("Kepiwedrith, Yoli H. dba Intl Foods")[:2] == (["kepiwedrith"], ["yolanda"]) and read("Kepiwedrith, Yoli H. dba Intl Foods")[3] == ["foods", "intl"]
+    assert read(None) == ([], [], "", [], "") and read(" ** ") == ([], [], "", [], "")
+    for t in ("Dotrex-Sidrin Intl Fds, Umber Fls", "Dotrex Sidrin Foods of Umber Falls", "Dotrex Sidrin (UmberFalls)", "dotrex sidrin foods - umber falls", "Dotrex Sidrin Umber Falls"):
+        assert read(t)[0] == ["dotrex", "sidrin"] and read(t)[4] == "umber falls", t
+    # texts of any length are read whole
+    assert read("x" * 2000 + " Technology")[0] == ["x" * 2000] and read(" " * 600 + "Dravind")[0] == ["dravind"]
+    assert split_address("12 " + " " * 600 + "Longhorn Pl")[:2] == ("12", "longhorn")
+    assert all(stands_for(w, "services") for w in ("svcs", "serv", "service", "servces")) and not stands_for("prinoler", "printing") and not stands_for("sabayoliston", "sys")
     a = split_address("Unit C, #12555 South Copperfield Ter., Overby, WA 86780")
-    assert a == ("12555", "copperfield", "terrace", "s", "overby")
+    assert a == ("12555", "copperfield", "terrace", "s", "overby", ["south", "copperfield", "ter"])
     assert split_address("No. 9240-42 Sixth St")[:3] == ("9240", "6", "street") and split_address("see invoice")[0] == ""
     assert distance("pewemar", "peewmar") == 1 and distance("abc", "abcdef") == 3
-    assert align(["12", "longhorn"], ["12", "longhron"]) < 1 < align(["12", "longhorn"], ["13", "longhorn"])
+    assert align(["longhorn", "pl"], ["longhron", "place"]) < 1 < align(["longhorn"], ["langdon"])
+    assert align(["w", "alder", "parkway"], ["alder", "pkwy", "west"]) < 1 and align(["gold", "finch"], ["goldfinch", "dr"]) < 1 and align(["seventh", "st"], ["7th", "street"]) == 0
     assert soft_similarity(["kayer", "pisoler"], [5, 5], ["kyaer", "pisoler"], [7, 5]) > 0.9
     assert soft_similarity(["kayer", "pisoler"], [5, 5], ["kayer", "trokrar"], [5, 5]) < 0.8
-    assert weakly_alike(["bbr"], ["brewarin", "britroth"]) and not weakly_alike(["xyz"], ["brewarin", "britroth"])
+    alike = lambda a, b, k: name_similarity(a, [5.0] * len(a), [], b, [5.0] * len(b), [], k) >= SIMILAR
+    assert alike(["bbr"], ["brewarin", "britroth"], 1) and not alike(["xyz"], ["brewarin", "britroth"], 1) and not alike(["bbr"], ["brewarin", "britroth"], 0)
+    assert alike(["xyz"], ["brewarin", "britroth"], 2)
+    assert trades_agree(["frt", "serv"], ["freight", "services"]) and trades_agree([], ["roofing"]) and not trades_agree(["freight", "services"], ["janitorial", "services"])
+
+
+def test_common_words(spark):
+    r = random.Random(3)
+    tok = lambda: "".join(r.choice(["pri", "lisk", "zo", "den", "kra", "vex", "mont"]) for _ in range(4))
+    names = [["hot", "namely", "plumbing"]] * 300 + [[tok(), r.choice(["roofing", "plumbing"])] for _ in range(300)]
+    df = spark.createDataFrame([(n,) for n in names], "_words array<string>")
+    # a name that makes up half of the rows is none; empty input teaches nothing
+    assert common_words(df) == ["plumbing", "roofing"] or common_words(df) == ["roofing"]
+    assert common_words(df.limit(0)) == []
 
 
 COLUMNS = "id long, display_name string, email string, phone string, ein string, street_address string, city string, state string, zip string, extra string"
@@ -127,9 +150,16 @@ FIELDS = ("display_name", "email", "phone", "ein", "street_address", "city", "st
 
 def records(spark, rows):
     full = [(i, *(list(r) + [None] * (8 - len(r))), "x") for i, r in rows]
+    # names from which the trade words are learned
+    odd = random.Random(4)
+    full += [(-i, "".join(odd.choice(["ga", "lu", "ne", "ri", "wo", "tha"]) for _ in range(4)) + f" {w}", *[None] * 7, "x") for i in range(1, 60) for w in ("Manufacturing", "Roofing")]
     return take_apart(spark.createDataFrame(full, COLUMNS), *FIELDS, ["id"])
 
 
+def of(rows):
+    return rows.filter("id > 0")
+
+
 def test_addresses(spark):
     rows = [
         (1, ["a", None, None, None, "12 North Longhorn Pl", "Overby", "WA", "86780"]), (2, ["b", None, None, None, "12 N. Longhron Place Ste 4", "overby", "WA", None]),
@@ -152,13 +182,20 @@ def test_match_and_link(spark):
         (14, ["Kepiwedrith, Yolanda", None, None, None, None, "Saint Orlen", "CA", None]), (15, ["Edward Kepiwedrith", None, None, None, None, "Saint Orlen", "CA", None]),
         (16, ["Brewarin and Britroth Roofing", None, None, "178411907"]), (17, ["  "]),
     ]
-    l, r = records(spark, left), records(spark, right).withColumnRenamed("id", "rid")
+    # taken apart together, with rows from which the town's usual writing is learned
+    more = [(-100 - i, [f"Wo{c}tha Galu", None, None, None, None, "Pellham Heights", "FL", None]) for i, c in enumerate("abcd")]
+    both = of(records(spark, left + right + more)).cache()
+    l, r = both.filter("id < 10"), both.filter("id > 10").withColumnRenamed("id", "rid")
     got = {(x.id, x.rid): x.confidence for x in match(l, r, "id", "rid").collect()}
     assert set(got) == {(1, 11), (2, 12), (4, 14), (6, 16)} and all(0.7 <= p <= 1 for p in got.values())
     assert {tuple(x) for x in link_to_masters(l, r, "id", "rid").collect()} == set(got)
     assert match(l.limit(0), r, "id", "rid").collect() == [] and link_to_masters(l, r.limit(0), "id", "rid").collect() == []
 
 
+def none(spark):
+    return spark.createDataFrame([], "l string, r string, k long")
+
+
 def test_variants_match_brute_force(spark):
     r = random.Random(2)
     tok = lambda: "".join(r.choice(["pri", "lisk", "zo", "den", "kra", "vex", "mont"]) for _ in range(3))
@@ -169,9 +206,9 @@ def test_variants_match_brute_force(spark):
         w[i], w[i + 1] = w[i + 1], w[i]
         return sorted(["".join(w), *n[1:]])
 
-    df = lambda rows: spark.createDataFrame([(f"n{i}", n, [], "") for i, n in enumerate(rows)], "n string, core array<string>, firsts array<string>, initial string")
+    df = lambda rows: spark.createDataFrame([(f"n{i}", n, [], "", []) for i, n in enumerate(rows)], "n string, core array<string>, firsts array<string>, initial string, trade array<string>")
     left, right = names, [slip(n) for n in names]
-    got = {(x.l, x.r) for x in variants(df(left), df(right)).collect()}
+    got = {(x.l, x.r) for x in variants(df(left), df(right), none(spark)).collect()}
     missed = [(i, i) for i in range(40) if (f"n{i}", f"n{i}") not in got]
     assert len(missed) <= 2
 
@@ -189,15 +226,29 @@ def test_variants_are_all_that_verify(spark):
     words = [tok(n) for n in (1, 2, 3, 4, 5, 6) for _ in range(60)]
     close = [(w, slip(w, r.randint(1, 3))) for w in words if len(w) > 3]
     close = [p for p in close if word_similarity(*p) > 0]
-    assert len(close) > 150 and all(slip_keys(a, False) & slip_keys(b, True) for p in close for a, b in (p, p[::-1]))
+    assert len(close) > 150 and all(set(slip_keys(a)) & set(slip_keys(b)) for a, b in close)
 
     left = [[tok(r.randint(2, 4)) for _ in range(r.choice([1, 2, 2, 3]))] for _ in range(60)]
     right = [[slip(w, r.randint(0, 2)) for w in n] for n in left] + [["".join(n)] for n in left if len(n) > 1]
-    count = Counter(e for n in left + right for e in {*n, "".join(n), "".join(reversed(n))})
+    count = Counter(e for n in left + right for e in n)
     weigh = lambda n: [math.log((len(left) + len(right) + SMOOTH) / count[w]) for w in n]
     want = {(f"n{i}", f"n{j}") for i, a in enumerate(left) for j, b in enumerate(right) if soft_similarity(a, weigh(a), b, weigh(b)) >= SIMILAR}
-    df = lambda rows: spark.createDataFrame([(f"n{i}", n, [], "") for i, n in enumerate(rows)], "n string, core array<string>, firsts array<string>, initial string")
-    assert len(want) > 60 and {(x.l, x.r) for x in variants(df(left), df(right)).collect()} == want
+    df = lambda rows: spark.createDataFrame([(f"n{i}", n, [], "", []) for i, n in enumerate(rows)], "n string, core array<string>, firsts array<string>, initial string, trade array<string>")
+    assert len(want) > 60 and {(x.l, x.r) for x in variants(df(left), df(right), none(spark)).collect()} == want
+
+
+def test_heads_of_heads(spark):
+    # each spelling is near the next only: all are one street, over three steps
+    streets = ["Goldfinchly"] * 9 + ["Goldfinchlt"] * 5 + ["Goldfnchlt"] * 3 + ["Goldfnhlt"]
+    rows = [(i, [f"n{i}", None, None, None, f"12 {t} Pl", "Overby", "WA", "86780"]) for i, t in enumerate(streets, 1)]
+    got = of(same_building_ids(spark, rows))
+    assert got.select("_building").distinct().count() == 1 and got.count() == len(rows)
+
+
+def same_building_ids(spark, rows):
+    from ledgermesh.llm.addresses import buildings
+
+    return buildings(records(spark, rows), "id")
 
 
 def test_survivors(spark):
