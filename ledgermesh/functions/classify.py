@@ -107,6 +107,8 @@ def bucket_keys(c: dict[str, Column]) -> Column:
     has = lambda *x: F.lit(True) if not x else x[0].isNotNull() & (x[0] != "") & has(*x[1:])
     keys = [F.when(has(*x), at(kind, *x)) for kind, x in (
         ("name", (c["first"], c["state"])), ("ein", (c["ein"],)), ("phone", (c["phone"],)), ("email_domain", (c["domain"],)),
-        ("naics3", (F.substring(c["naics"], 1, 3), c["state"])), ("naics4", (F.substring(c["naics"], 1, 4), c["state"])), ("zip3", (c["zip3"],)), ("city", (c["city"], c["state"])),
+        ("naics3", (F.when(F.length(c["naics"]) >= 3, F.substring(c["naics"], 1, 3)), c["state"])), ("naics4", (F.when(F.length(c["naics"]) >= 4, F.substring(c["naics"], 1, 4)), c["state"])), ("zip3", (c["zip3"],)), ("city", (c["city"], c["state"])),
     )]
-    return F.array_compact(F.array(*keys))
+    none = F.array().cast("array<string>")
+    goods = F.when(has(c["state"]), F.transform(F.slice(F.coalesce(c["goods"], none), 1, 3), lambda w: at("commodity", w, c["state"])))
+    return F.concat(F.array_compact(F.array(*keys)), F.coalesce(goods, none))

@@ -120,6 +120,21 @@ def composite(scores: dict[str, Column], name_similarity: Column, config: Scorin
     return F.round(capped, 4)
 
 
+def blend(composite: Column, other: Column, identity: Column) -> Column:
+    """The composite with a second similarity, which counts more where the identity is sure; alone where there is none."""
+    return F.when(other.isNull(), composite).when(identity >= 0.55, 0.6 * composite + 0.4 * other).otherwise(0.85 * composite + 0.15 * other)
+
+
+def decide(composite: Column, judge: Column | None = None, depth: Column | None = None, config: Scoring = Scoring()) -> Column:
+    """MERGE, REVIEW or NEW_ENTITY by the composite of the best candidate (null: none).
+
+    Between the thresholds `judge` decides - a column of a scorer's own decisions, null for
+    none - unless the record came by three merges or more (`depth`); without it, REVIEW.
+    """
+    open_ = F.lit("REVIEW") if judge is None else F.when(F.coalesce(depth, F.lit(0)) >= 3 if depth is not None else F.lit(False), "REVIEW").otherwise(F.coalesce(judge, F.lit("REVIEW")))
+    return F.when(composite > config.auto_merge, "MERGE").when(composite >= config.low, open_).otherwise("NEW_ENTITY")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 for zero vectors, within [0, 1]."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

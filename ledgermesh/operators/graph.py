@@ -13,37 +13,29 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def levels(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """Breadth-first levels: root, id, depth, parent (the smallest of the level above).
+def levels(edges: DataFrame, roots: DataFrame, depth: int, paths: bool = False) -> DataFrame:
+    """Breadth-first levels: root, id, depth, parent (the smallest of the level above), and with `paths` path.
 
     A frontier is joined with the edges each round; nodes already reached are left out by
-    an anti-join, so no path is enumerated. Each round is cut in the shared folder.
+    an anti-join, so no path is enumerated: of each node the smallest path over the level
+    above is kept. Each round is cut in the shared folder.
+
+    * no edges, or roots without any, give the roots alone; null ends reach nothing
     """
-    e = edges.select("src", "dst").distinct()
-    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(dict(e.dtypes)["src"]).alias("parent"))
+    e = cut(edges.select("src", "dst").distinct())
+    first = [F.col("root").cast("string").alias("path")] if paths else []
+    seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(dict(e.dtypes)["src"]).alias("parent"), *first)
     front = seen
     for k in range(1, depth + 1):
-        step = front.join(e.withColumnRenamed("src", "id"), "id").groupBy("root", F.col("dst").alias("id")).agg(F.min("id").alias("parent"))
-        front = cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(k).alias("depth"), "parent"))
+        way = [F.min(F.concat_ws(">", "path", "dst")).alias("path")] if paths else []
+        step = front.join(e.withColumnRenamed("src", "id"), "id").groupBy("root", F.col("dst").alias("id")).agg(F.min("id").alias("parent"), *way)
+        front = cut(step.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(k).alias("depth"), "parent", *(["path"] if paths else [])))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
-def trails(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """Paths of 1 to `hops` edges from the start nodes, no edge twice: path (array of nodes), hops, volume."""
-    e = edges.select("src", "dst", "volume").withColumn("edge", F.concat_ws(">", "src", "dst"))
-    now = start.select(F.array("id").alias("path"), F.array().cast("array<string>").alias("used"), F.lit(0.0).alias("volume"), F.col("id").alias("src"))
-    out = None
-    for k in range(1, hops + 1):
-        step = now.withColumnRenamed("volume", "v").join(e, "src").filter(~F.array_contains("used", F.col("edge")))
-        now = step.select(F.array_append("path", F.col("dst")).alias("path"), F.array_append("used", F.col("edge")).alias("used"), (F.col("v") + F.col("volume")).alias("volume"), F.col("dst").alias("src"))
-        part = now.select("path", F.lit(k).alias("hops"), "volume")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def closure(pointers: DataFrame, rounds: int = 40) -> DataFrame:
     """Redirects (id -> target) followed to their end by pointer doubling: id, final.
 

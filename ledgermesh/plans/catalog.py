@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feeds, graphs, history, network, personas
+from . import feeds, graphs, history, network, personas, services
 
-REGISTRIES = [feeds.R, network.R, personas.R, graphs.R, history.R]
+REGISTRIES = [feeds.R, network.R, personas.R, graphs.R, history.R, services.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..operators.keyed import deduplicate
+from .logical import NAMES
 from .registry import Registry, table
 
 R = Registry()
 AT = "TIMESTAMP '2024-01-15'"
 
 
-@R.query("l1_audit_trail", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn <= 50 AND user_id <= 20")
+@R.query("l1_audit_trail", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn <= 50")
 def l1(spark, d):
     """The last fifty audit entries of each entity."""
     rn = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
@@ -32,14 +33,20 @@ def l3(spark, d):
     return e.filter(F.col("ts") <= F.lit(lo + (hi - lo) / 2)).groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"), F.max_by("props", "ts").alias("snapshot"))
 
 
-@R.query("l6_field_diff", """SELECT vendor_id, change_seq, 'phone' AS field, before, phone AS after FROM (SELECT vendor_id, change_seq, phone, op, lag(phone) OVER w before, lag(op) OVER w bop FROM (SELECT DISTINCT vendor_id, change_seq, phone, op FROM staged_vendors) WINDOW w AS (PARTITION BY vendor_id ORDER BY change_seq))
- WHERE op <> 'D' AND bop <> 'D' AND before IS DISTINCT FROM phone""")
+DIFFED = ("company_id", *NAMES, "expected_volume", "is_active", "created_at", "updated_at")
+_as_text = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if c.endswith("_at") else f"CAST({c} AS VARCHAR)"
+
+
+@R.query("l6_field_diff", f"""WITH v AS (SELECT DISTINCT vendor_id, change_seq, op, {", ".join(DIFFED)} FROM staged_vendors),
+ w AS (SELECT vendor_id, change_seq, op, lag(op) OVER o AS bop, {", ".join(f"{_as_text(c)} AS {c}, lag({_as_text(c)}) OVER o AS old_{c}" for c in DIFFED)} FROM v WINDOW o AS (PARTITION BY vendor_id ORDER BY change_seq))
+ {" UNION ALL ".join(f"SELECT vendor_id, change_seq, '{c}' AS field, old_{c} AS before, {c} AS after FROM w WHERE op <> 'D' AND bop <> 'D' AND old_{c} IS DISTINCT FROM {c}" for c in DIFFED)}""")
 def l6(spark, d):
     """Changes of every column from one version to the next."""
     w = W.partitionBy("vendor_id").orderBy("change_seq")
-    v = table(spark, d, "staged_vendors").drop("captured_at").distinct()
-    fields = [c for c in v.columns if c not in ("vendor_id", "change_seq", "op")]
-    v = v.withColumn("now", F.struct(*[F.col(c).cast("string").alias(c) for c in fields])).select("vendor_id", "change_seq", "op", "now")
+    v = table(spark, d, "staged_vendors").select("vendor_id", "change_seq", "op", *DIFFED).distinct()
+    fields = DIFFED
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if c.endswith("_at") else F.col(c).cast("string")
+    v = v.withColumn("now", F.struct(*[text(c).alias(c) for c in fields])).select("vendor_id", "change_seq", "op", "now")
     v = v.withColumns({"old": F.lag("now").over(w), "bop": F.lag("op").over(w)}).filter("op <> 'D' and bop <> 'D'")
     each = F.array(*[F.struct(F.lit(c).alias("field"), F.col("old")[c].alias("before"), F.col("now")[c].alias("after")) for c in fields])
     changed = F.filter(each, lambda x: ~x["before"].eqNullSafe(x["after"]))

@@ -24,9 +24,13 @@ EDGES = f"""(SELECT 'C' || company_id src, 'V' || vendor_id dst, 'BUYS_FROM' rel
  FROM {B} WHERE company_id IS NOT NULL AND vendor_id IS NOT NULL GROUP BY 1, 2
  UNION ALL SELECT 'C' || company_id, 'K' || customer_id, 'SELLS_TO', round(CAST(coalesce(max(expected_volume), 0) AS DOUBLE), 2), 1 FROM {C}
  WHERE company_id IS NOT NULL GROUP BY 1, 2)"""
-NATIONS = """(SELECT CAST(c_nationkey AS BIGINT) src, CAST(s_nationkey AS BIGINT) dst, round(sum(l_extendedprice * (1 - l_discount)), 2) volume, count(*) cnt
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
- WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 11) % 13 = 0 GROUP BY 1, 2)"""
+LISTED = """(SELECT s, min(golden_record_id) g FROM (SELECT golden_record_id, trim(unnest(from_json(lower(source_records), '["varchar"]'))) s
+ FROM golden_records WHERE json_valid(source_records)) GROUP BY 1)"""
+TRADE = f"""(SELECT src, dst, round(CAST(sum(v) AS DOUBLE), 2) volume, CAST(sum(n) AS BIGINT) cnt FROM (
+  SELECT 'C' || company_id src, coalesce(g, 'V' || vendor_id) dst, coalesce(total, 0) v, 1 n FROM {B} LEFT JOIN {LISTED} ON s = 'v-' || vendor_id
+  WHERE company_id IS NOT NULL AND vendor_id IS NOT NULL
+  UNION ALL SELECT coalesce(g, 'K' || customer_id), 'C' || company_id, coalesce(expected_volume, 0), 1 FROM {C} LEFT JOIN {LISTED} ON s = 'c-' || customer_id
+  WHERE company_id IS NOT NULL) GROUP BY 1, 2)"""
 
 
 def vendors(spark: SparkSession, d: str) -> DataFrame:
@@ -91,14 +95,24 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return buys.unionByName(sells)
 
 
-def nations(spark: SparkSession, d: str) -> DataFrame:
-    """The trade graph of nations: customers' nations buy from suppliers' nations."""
-    t = lambda n: table(spark, d, n)
-    rows = (
-        t("lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter("c_nationkey <> s_nationkey")
-    )
-    return rows.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.round(F.sum("v"), 2).alias("volume"), F.count(F.lit(1)).alias("cnt"))
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """The golden record of each record id it lists (the smallest, if several do): s, g."""
+    s = F.explode(F.from_json(F.lower("source_records"), "array<string>"))
+    g = table(spark, d, "golden_records").select("golden_record_id", s.alias("s")).select("golden_record_id", F.trim("s").alias("s"))
+    return g.filter("s is not null").groupBy("s").agg(F.min("golden_record_id").alias("g"))
+
+
+def trade(spark: SparkSession, d: str) -> DataFrame:
+    """The business graph, buyer -> seller: companies buy of vendors, customers of companies.
+
+    Vendors and customers stand under their golden record where one lists them, so a
+    business that sells to one company and buys of another joins the two. One edge for each
+    pair: src, dst, volume, cnt.
+    """
+    m = listed(spark, d)
+    buys = bills(spark, d).filter("company_id is not null and vendor_id is not null").groupBy("company_id", "vendor_id").agg(F.sum(F.coalesce("total", F.lit(0))).alias("v"), F.count(F.lit(1)).alias("n"))
+    buys = buys.withColumn("s", F.concat(F.lit("v-"), "vendor_id")).join(m, "s", "left")
+    buys = buys.select(F.concat(F.lit("C"), "company_id").alias("src"), F.coalesce("g", F.concat(F.lit("V"), "vendor_id")).alias("dst"), "v", "n")
+    sells = customers(spark, d).filter("company_id is not null").withColumn("s", F.concat(F.lit("c-"), "customer_id")).join(m, "s", "left")
+    sells = sells.select(F.coalesce("g", F.concat(F.lit("K"), "customer_id")).alias("src"), F.concat(F.lit("C"), "company_id").alias("dst"), F.coalesce("expected_volume", F.lit(0)).alias("v"), F.lit(1).cast("long").alias("n"))
+    return buys.unionByName(sells).groupBy("src", "dst").agg(F.round(F.sum("v").cast("double"), 2).alias("volume"), F.sum("n").alias("cnt"))

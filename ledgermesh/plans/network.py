@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.keyed import deduplicate, partial_update, remap_edges
 from . import logical as L
-from .logical import B, EDGES, G, NATIONS, SILVER, V
+from .logical import B, EDGES, G, SILVER, TRADE, V
 from .registry import Registry, table
 
 R = Registry()
@@ -30,7 +30,7 @@ def s10(spark, d):
     return table(spark, d, "golden_records").filter(F.col("status").isin(*ACTIVE)).select("golden_record_id", "status", F.col("confidence").cast("double").alias("confidence")).distinct()
 
 
-SPLIT = 5_000_000_000
+SPLIT = 1_000_000_000  # fixed value: ids from here on are manual
 
 
 @R.query("s14_auto_manual_split", f"SELECT CASE WHEN connection_id < {SPLIT} THEN 'auto' ELSE 'manual' END AS source, count(*) AS n FROM {SILVER} GROUP BY 1")
@@ -172,10 +172,13 @@ def f_finite(spark, d):
     return table(spark, d, "events").select("event_id", F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v).alias("value"))
 
 
-@R.query("f_summary", f"SELECT golden_record_id, canonical_name, coalesce(city, '') AS city, coalesce(state, '') AS state, coalesce(source_count, 0) AS source_count FROM {G}")
+@R.query("f_summary", f"SELECT golden_record_id, canonical_name, coalesce(city, '') AS city, coalesce(state, '') AS state, coalesce(naics_code, '') AS naics_code, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence, coalesce(status, 'ACTIVE') AS status, coalesce(entity_type, 'PHANTOM') AS entity_type, coalesce(source_count, 0) AS source_count FROM {G}")
 def f_summary(spark, d):
     """Summary of a record with defaults."""
-    return L.golden(spark, d).select("golden_record_id", "canonical_name", F.coalesce("city", F.lit("")).alias("city"), F.coalesce("state", F.lit("")).alias("state"), F.coalesce("source_count", F.lit(0)).alias("source_count"))
+    return L.golden(spark, d).select(
+        "golden_record_id", "canonical_name", F.coalesce("city", F.lit("")).alias("city"), F.coalesce("state", F.lit("")).alias("state"), F.coalesce("naics_code", F.lit("")).alias("naics_code"), F.coalesce("confidence", F.lit(0)).cast("double").alias("confidence"),
+        F.coalesce("status", F.lit("ACTIVE")).alias("status"), F.coalesce("entity_type", F.lit("PHANTOM")).alias("entity_type"), F.coalesce("source_count", F.lit(0)).alias("source_count"),
+    )
 
 
 @R.query("j1_company_connections", f"SELECT e.dst, v.display_name, e.volume, e.cnt FROM {E} e JOIN {V} v ON e.dst = 'V' || v.vendor_id WHERE e.src = 'C1' AND e.rel_type = 'BUYS_FROM'")
@@ -185,13 +188,13 @@ def j1(spark, d):
     return L.edges(spark, d).filter("src = 'C1' and rel_type = 'BUYS_FROM'").join(v, "dst").select("dst", "display_name", "volume", "cnt")
 
 
-@R.query("j2_neighbors", f"""SELECT id, other, is_outgoing, volume FROM (SELECT src id, dst other, true is_outgoing, volume FROM {NATIONS} UNION ALL SELECT dst, src, false, volume FROM {NATIONS})
- WHERE id = 3""")
+@R.query("j2_neighbors", f"""SELECT id, other, is_outgoing, volume FROM (SELECT src id, dst other, true is_outgoing, volume FROM {TRADE} UNION ALL SELECT dst, src, false, volume FROM {TRADE})
+  WHERE id = 'C1'""")
 def j2(spark, d):
     """Neighbours in both directions."""
-    n = L.nations(spark, d)
+    n = L.trade(spark, d)
     out = n.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(True).alias("is_outgoing"), "volume")
-    return out.unionByName(n.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("is_outgoing"), "volume")).filter("id = 3")
+    return out.unionByName(n.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(False).alias("is_outgoing"), "volume")).filter("id = 'C1'")
 
 
 @R.query("j3_all_connections", f"SELECT src id, dst other, CASE WHEN rel_type = 'BUYS_FROM' THEN 'vendor' ELSE 'customer' END AS role FROM {E} UNION ALL SELECT dst, src, CASE WHEN rel_type = 'BUYS_FROM' THEN 'customer' ELSE 'vendor' END FROM {E}")
@@ -219,15 +222,16 @@ def j5(spark, d):
     return L.golden(spark, d).join(ids, "golden_record_id", "left_semi").select("golden_record_id", "canonical_name")
 
 
-UND = f"(SELECT src a, dst b, volume FROM {NATIONS} UNION ALL SELECT dst, src, volume FROM {NATIONS})"
+UND = f"(SELECT src a, dst b, volume FROM {TRADE} UNION ALL SELECT dst, src, volume FROM {TRADE})"
 
 
-@R.query("j6_common_neighbors", f"SELECT DISTINCT x.b AS id FROM {UND} x JOIN {UND} y ON x.b = y.b WHERE x.a = 3 AND y.a = 7")
+@R.query("j6_common_neighbors", f"SELECT DISTINCT x.b AS id FROM {UND} x JOIN {UND} y ON x.b = y.b WHERE x.a = 'C1' AND y.a IN ('C2', 'C3', 'C4', 'C5', 'C6', 'C7', 'C8', 'C9')")
 def j6(spark, d):
-    """Neighbours that two entities share."""
-    n = L.nations(spark, d)
+    """Neighbours that a company shares with any of some others."""
+    n = L.trade(spark, d)
     u = n.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(n.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    return u.filter("a = 3").select(F.col("b").alias("id")).intersect(u.filter("a = 7").select(F.col("b").alias("id")))
+    other = [f"C{i}" for i in range(2, 10)]
+    return u.filter("a = 'C1'").select(F.col("b").alias("id")).intersect(u.filter(F.col("a").isin(*other)).select(F.col("b").alias("id")))
 
 
 PR = "(SELECT DISTINCT match_id, trim(orphan_golden_id) o, trim(candidate_golden_id) c, upper(trim(status)) s FROM pending_resolution WHERE upper(trim(status)) = 'PENDING' AND match_id IS NOT NULL)"
@@ -395,10 +399,10 @@ def a11(spark, d):
     return L.edges(spark, d).groupBy(F.col("src").alias("id")).agg(total.alias("total_volume"), F.sum("cnt").alias("transactions"), (total / F.count(F.lit(1))).alias("avg_per_connection"))
 
 
-@R.query("a12_collect", f"SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ',') AS targets FROM {NATIONS} GROUP BY 1")
+@R.query("a12_collect", f"SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ',') AS targets FROM {TRADE} GROUP BY 1")
 def a12(spark, d):
     """The neighbours of a node as a list."""
-    return L.nations(spark, d).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")).cast("array<string>"), ",").alias("targets"))
+    return L.trade(spark, d).groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")).cast("array<string>"), ",").alias("targets"))
 
 
 @R.query("a14_top_industries", f"SELECT naics_code[1:4] AS industry, count(*) AS n FROM {G} WHERE length(naics_code) >= 4 GROUP BY 1 ORDER BY n DESC, industry LIMIT 5")
@@ -407,10 +411,10 @@ def a14(spark, d):
     return _agg_count(L.golden(spark, d).filter("length(naics_code) >= 4"), F.substring("naics_code", 1, 4).alias("industry")).orderBy(F.desc("n"), "industry").limit(5)
 
 
-@R.query("a15_density", f"SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT src FROM {NATIONS} UNION SELECT dst FROM {NATIONS})) AS nodes, round(count(*) / ((SELECT count(*) FROM (SELECT src FROM {NATIONS} UNION SELECT dst FROM {NATIONS})) * ((SELECT count(*) FROM (SELECT src FROM {NATIONS} UNION SELECT dst FROM {NATIONS})) - 1)), 3) AS density FROM {NATIONS}")
+@R.query("a15_density", f"SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT src FROM {TRADE} UNION SELECT dst FROM {TRADE})) AS nodes, round(count(*) / ((SELECT count(*) FROM (SELECT src FROM {TRADE} UNION SELECT dst FROM {TRADE})) * ((SELECT count(*) FROM (SELECT src FROM {TRADE} UNION SELECT dst FROM {TRADE})) - 1)), 3) AS density FROM {TRADE}")
 def a15(spark, d):
     """Density of the graph."""
-    n = L.nations(spark, d)
+    n = L.trade(spark, d)
     a = n.select(F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("e")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("e")))).alias("x")).select("x.*").agg(F.sum("e").alias("edges"), F.count_distinct("v").alias("nodes"))
     return a.select("edges", "nodes", F.when(F.col("nodes") <= 1, 1.0).otherwise(F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 3)).alias("density"))
 
@@ -422,11 +426,11 @@ def a16(spark, d):
     return L.golden(spark, d).filter("state is not null").groupBy("state").agg(F.when(n == 0, 0.0).when(n == 1, 0.5).otherwise(F.round(1.0 / k, 4)).alias("coherence"))
 
 
-@R.query("a17_concentration", f"SELECT src, dst, round(volume / sum(volume) OVER (PARTITION BY src), 4) AS share, volume > 0.5 * sum(volume) OVER (PARTITION BY src) AS warning FROM {NATIONS}")
+@R.query("a17_concentration", f"SELECT src, dst, round(volume / nullif(sum(volume) OVER (PARTITION BY src), 0), 4) AS share, volume > 0.5 * sum(volume) OVER (PARTITION BY src) AS warning FROM {TRADE}")
 def a17(spark, d):
     """Share of each partner, and whether one has more than half."""
     total = F.sum("volume").over(W.partitionBy("src"))
-    return L.nations(spark, d).select("src", "dst", F.round(F.col("volume") / total, 4).alias("share"), (F.col("volume") > 0.5 * total).alias("warning"))
+    return L.trade(spark, d).select("src", "dst", F.round(F.try_divide("volume", F.nullif(total, F.lit(0.0))), 4).alias("share"), (F.col("volume") > 0.5 * total).alias("warning"))
 
 
 @R.query("a19_dashboard", f"SELECT src AS hub, count(*) AS degree, count_if(rel_type = 'BUYS_FROM') AS vendors, count_if(rel_type = 'SELLS_TO') AS clients FROM {E} GROUP BY 1 ORDER BY degree DESC, hub LIMIT 3")
@@ -468,11 +472,17 @@ def u1(spark, d):
     return L.identities(spark, d).select("company_id", "connection_id", "connection_type", "display_name")
 
 
-@R.query("u5_array_sets", f"""SELECT golden_record_id, len(list_distinct(from_json(name_variants, '["varchar"]'))) AS n, list_contains(from_json(name_variants, '["varchar"]'), canonical_name) AS has_name FROM {G} WHERE json_valid(name_variants) AND name_variants LIKE '[%'""")
+@R.query("u5_array_sets", f"""SELECT golden_record_id, len(list_distinct(from_json(name_variants, '["varchar"]'))) AS n, list_contains(from_json(name_variants, '["varchar"]'), canonical_name) AS has_name,
+ array_to_string(list_sort(list_distinct(list_append(from_json(name_variants, '["varchar"]'), canonical_name))), '|') AS with_name, array_to_string(list_sort(list_distinct(list_filter(from_json(name_variants, '["varchar"]'), lambda x: upper(x) = canonical_name))), '|') AS same, array_to_string(list_sort(list_distinct(list_filter(from_json(name_variants, '["varchar"]'), lambda x: upper(x) <> canonical_name))), '|') AS other FROM {G} WHERE json_valid(name_variants) AND name_variants LIKE '[%'""")
 def u5(spark, d):
     """Sets held in lists."""
     v = F.from_json("name_variants", "array<string>")
-    return L.golden(spark, d).filter(v.isNotNull() & F.col("name_variants").startswith("[")).select("golden_record_id", F.size(F.array_distinct(v)).cast("long").alias("n"), F.array_contains(v, F.col("canonical_name")).alias("has_name"))
+    joined = lambda x: F.array_join(F.array_sort(x), "|")
+    up = lambda x: F.upper(x) == F.col("canonical_name")
+    return L.golden(spark, d).filter(v.isNotNull() & F.col("name_variants").startswith("[")).select(
+        "golden_record_id", F.size(F.array_distinct(v)).cast("long").alias("n"), F.array_contains(v, F.col("canonical_name")).alias("has_name"),
+        joined(F.array_union(v, F.array("canonical_name"))).alias("with_name"), joined(F.array_distinct(F.filter(v, up))).alias("same"), joined(F.array_except(v, F.filter(v, up))).alias("other"),
+    )
 
 
 @R.query("x2_changelog_agg", f"SELECT company_id, vendor_id AS connection_id, CAST(sum(total) AS DOUBLE) AS total_volume, count(*) AS transaction_count FROM {B} WHERE vendor_id IS NOT NULL GROUP BY 1, 2")

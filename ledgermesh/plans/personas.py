@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import classify as K, scoring as S
-from ..functions.dictionaries import CATEGORY_CODE, CROSS_LINKS, KEYWORD_CODE, SUFFIXES
+from ..functions.dictionaries import CATEGORY_CODE, COMMODITY_ORDER, CROSS_LINKS, KEYWORD_CODE, SUFFIXES, TRADES
+from ..session import cut
 from . import logical as L
-from .logical import SILVER, V
+from .logical import B, SILVER, V
 from .registry import Registry, table
 
 R = Registry()
@@ -43,16 +44,21 @@ def q_email(x: str) -> str:
     return f"CASE WHEN contains(lower(trim({x})), '@') THEN lower(trim({x})) END"
 
 
-def q_persona(src: str, ident: str, phone: str = "phone", zip_: str = "zip", name: str = "display_name") -> str:
+def q_persona(src: str, ident: str, phone: str = "phone", zip_: str = "zip", name: str = "display_name", more: str = "") -> str:
     return f"""(SELECT *, name_tokens[1] AS first_token, nullif(substr(email, instr(email, '@') + 1), '') AS domain FROM (SELECT {ident} AS id, company_clean AS clean, {q_tokens('company_clean')} AS name_tokens,
  {q_ein('ein')} AS ein, {q_phone(phone)} AS phone, {q_email('email')} AS email, nullif(upper(trim(state)), '') AS state, nullif(upper(trim(city)), '') AS city,
- CASE WHEN length({q_digits(zip_)}) >= 5 THEN {q_digits(zip_)}[1:5] END AS zip5, CASE WHEN length({q_digits(zip_)}) >= 3 THEN {q_digits(zip_)}[1:3] END AS zip3
+ CASE WHEN length({q_digits(zip_)}) >= 5 THEN {q_digits(zip_)}[1:5] END AS zip5, CASE WHEN length({q_digits(zip_)}) >= 3 THEN {q_digits(zip_)}[1:3] END AS zip3{more}
  FROM (SELECT *, {q_name(name)} AS company_clean FROM {src} WHERE trim({name}) <> '')))"""
 
 
 ONE = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY golden_record_id ORDER BY updated_at DESC, canonical_name) rn FROM golden_records WHERE status IN ('ACTIVE', 'PROVISIONAL')) WHERE rn = 1)"
 PV, PG = q_persona(V, "vendor_id"), q_persona(ONE, "golden_record_id", "phone_digits", "zip5", "canonical_name")
-KEYS = "list_filter([CASE WHEN first_token <> '' AND state IS NOT NULL THEN 'name:' || first_token || '+' || state END, 'ein:' || ein, 'phone:' || phone, 'email_domain:' || domain, 'zip3:' || zip3, CASE WHEN state IS NOT NULL THEN 'city:' || city || '+' || state END], lambda k: k IS NOT NULL)"
+KEYS = """list_concat(list_filter([CASE WHEN first_token <> '' AND state IS NOT NULL THEN 'name:' || first_token || '+' || state END, 'ein:' || ein, 'phone:' || phone, 'email_domain:' || domain,
+ 'naics3:' || CASE WHEN length(naics) >= 3 THEN naics[1:3] END || '+' || state, 'naics4:' || CASE WHEN length(naics) >= 4 THEN naics[1:4] END || '+' || state, 'zip3:' || zip3, 'city:' || city || '+' || state], lambda k: k IS NOT NULL),
+ CASE WHEN state IS NULL THEN [] ELSE list_transform(coalesce(goods, [])[1:3], lambda w: 'commodity:' || w || '+' || state) END)"""
+#: Families whose keys many records share; in joins they go with the first letters of the name.
+BROAD = ("email_domain", "naics3", "naics4", "zip3", "city", "commodity")
+JOIN_KEYS = f"list_transform({KEYS}, lambda k: CASE WHEN split_part(k, ':', 1) IN {BROAD} THEN k || '~' || clean[1:2] ELSE k END)"
 
 
 # --- the same in Spark ------------------------------------------------------------------
@@ -84,11 +90,35 @@ def golden_persona(spark, d) -> DataFrame:
     return persona(golden_one(spark, d), "golden_record_id", "phone_digits", "zip5", "canonical_name")
 
 
+def vendor_full(spark, d) -> DataFrame:
+    """Personas of the vendors with all five dimensions."""
+    rows = L.vendors(spark, d)
+    traits = K.industries(rows, "category").select(F.col("vendor_id").alias("id"), "naics", K.commodities(F.col("commodity"), F.col("display_name")).alias("goods"))
+    v, n = F.col("total_volume"), F.col("transaction_count")
+    t = L.transactions(L.bills(spark, d)).groupBy(F.col("connection_id").alias("id")).agg(F.sum("total_volume").alias("total_volume"), F.sum("transaction_count").alias("transaction_count"))
+    t = t.select("id", K.bracket(v, n).alias("bracket"), (v / n).alias("avg"))
+    return persona(rows, "vendor_id").join(traits, "id", "left").join(t, "id", "left")
+
+
+def golden_full(spark, d) -> DataFrame:
+    """Personas of the golden records in use with all five dimensions."""
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    goods = F.filter(F.from_json(F.lower("commodity_keywords"), "array<string>"), lambda g: g.isNotNull())
+    one = golden_one(spark, d)
+    traits = one.select(F.col("golden_record_id").alias("id"), text("naics_code").alias("naics"), goods.alias("goods"), text("volume_bracket").alias("bracket"), F.col("avg_transaction").cast("double").alias("avg"))
+    return persona(one, "golden_record_id", "phone_digits", "zip5", "canonical_name").join(traits, "id")
+
+
 def keys_of(p: DataFrame) -> Column:
-    c = {k: F.col(k) for k in ("state", "ein", "phone", "domain", "zip3", "city")} | {"first": F.col("first_token"), "naics": F.lit(None).cast("string")}
+    c = {k: F.col(k) for k in ("state", "ein", "phone", "domain", "zip3", "city", "naics", "goods")} | {"first": F.col("first_token")}
     return K.bucket_keys(c)
 
 
+def join_keys(p: DataFrame) -> Column:
+    narrow = lambda k: F.when(F.substring_index(k, ":", 1).isin(*BROAD), F.concat(k, F.lit("~"), F.substring("clean", 1, 2))).otherwise(k)
+    return F.transform(keys_of(p), narrow)
+
+
 @R.query("c1_name_norm", f"SELECT id, clean, array_to_string(name_tokens, ' ') AS name_tokens, coalesce(first_token, '') AS first_token FROM {PV}")
 def c1(spark, d):
     """Names without legal form, punctuation and noise."""
@@ -135,9 +165,9 @@ def c6(spark, d):
     return vendor_persona(spark, d).select("id", "state", "city", "zip5", "zip3")
 
 
-@R.query("c7_commodity")
+@R.query("c7_commodity", lambda: f"SELECT vendor_id, array_to_string(goods, ', ') AS keywords FROM {VSRC}")
 def c7(spark, d):
-    """The first five commodities of a vendor; tested against plain Python."""
+    """The first five commodities of a vendor."""
     return L.vendors(spark, d).select("vendor_id", F.array_join(K.commodities(F.col("commodity"), F.col("display_name")), ", ").alias("keywords"))
 
 
@@ -153,23 +183,28 @@ def c8(spark, d):
     return L.silver(spark, d).select("connection_id", "connection_type", b.alias("volume_bracket"), F.when(b.isNotNull(), v / n).alias("avg_transaction"))
 
 
-def _sum(*cs: Column) -> Column:
-    return sum((F.when(c, 1).otherwise(0) for c in cs), F.lit(0)).cast("long")
+def _known(what: dict[str, tuple[str, ...]]) -> str:
+    return ", ".join(f"CAST({' + '.join(f'(CASE WHEN {c} THEN 1 ELSE 0 END)' for c in cs)} AS BIGINT) AS {k}" for k, cs in what.items())
+
 
+DIMENSIONS = {
+    "identity": ("clean <> ''", "ein IS NOT NULL", "phone IS NOT NULL", "email IS NOT NULL"), "industry": ("naics IS NOT NULL", "length(naics) >= 4"),
+    "location": ("state IS NOT NULL", "city IS NOT NULL", "zip5 IS NOT NULL", "zip3 IS NOT NULL"), "commodity": ("SIZE(goods) > 0", "SIZE(goods) > 2"), "behavioral": ("bracket IS NOT NULL",),
+}
 
-@R.query("c9_sparsity", f"""SELECT id, CAST((clean <> '')::INT + (ein IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (email IS NOT NULL)::INT AS BIGINT) AS identity,
- CAST((state IS NOT NULL)::INT + (city IS NOT NULL)::INT + CASE WHEN zip5 IS NOT NULL THEN 2 WHEN zip3 IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS location FROM {PV}""")
+
+@R.query("c9_sparsity", lambda: f"{WITH} SELECT id, {_known(DIMENSIONS).replace('SIZE(', 'len(')} FROM pv")
 def c9(spark, d):
-    """How much is known in each dimension."""
-    n = lambda c: F.col(c).isNotNull()
-    return vendor_persona(spark, d).select("id", _sum(F.col("clean") != "", n("ein"), n("phone"), n("email")).alias("identity"), _sum(n("state"), n("city"), n("zip5"), n("zip3")).alias("location"))
+    """How much is known in each of the five dimensions."""
+    part = lambda c: F.when(F.expr(c), 1).otherwise(0)
+    return vendor_full(spark, d).select("id", *[sum((part(c) for c in cs), F.lit(0)).cast("long").alias(k) for k, cs in DIMENSIONS.items()])
 
 
-@R.query("c10_persona", f"SELECT 'v-' || id AS record_id, clean || '|' || coalesce(ein, '') || '|' || coalesce(state, '') || '|' || coalesce(zip3, '') AS persona FROM {PV}")
+@R.query("c10_persona", lambda: f"{WITH} SELECT 'v-' || id AS record_id, clean, ein, phone, naics, state, zip3, array_to_string(goods, ', ') AS goods, bracket, avg FROM pv")
 def c10(spark, d):
-    """The persona of a record under its record id."""
-    e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return vendor_persona(spark, d).select(F.concat(F.lit("v-"), "id").alias("record_id"), F.concat_ws("|", "clean", e("ein"), e("state"), e("zip3")).alias("persona"))
+    """The persona of a record under its record id, all dimensions."""
+    p = vendor_full(spark, d)
+    return p.select(F.concat(F.lit("v-"), "id").alias("record_id"), "clean", "ein", "phone", "naics", "state", "zip3", F.array_join("goods", ", ").alias("goods"), "bracket", "avg")
 
 
 @R.query("c11_bootstrap", f"SELECT DISTINCT 'G-' || substr(md5('company ' || company_id), 1, 8) AS golden_record_id, company_id, 1.0::DOUBLE AS confidence FROM {V} WHERE company_id IS NOT NULL")
@@ -179,10 +214,10 @@ def c11(spark, d):
     return L.vendors(spark, d).filter("company_id is not null").select("company_id").distinct().select(ids.alias("golden_record_id"), "company_id", F.lit(1.0).alias("confidence"))
 
 
-@R.query("c13_bucket_keys", f"SELECT id, unnest({KEYS}) AS bucket_key FROM {PV}")
+@R.query("c13_bucket_keys", lambda: f"{WITH} SELECT id, unnest(keys) AS bucket_key FROM pv")
 def c13(spark, d):
-    """Blocking keys of each vendor."""
-    p = vendor_persona(spark, d)
+    """Blocking keys of each vendor, of nine families."""
+    p = vendor_full(spark, d)
     return p.select("id", F.explode(keys_of(p)).alias("bucket_key"))
 
 
@@ -219,26 +254,59 @@ def c20(spark, d):
 
 # --- pairs ------------------------------------------------------------------------------
 
-PAIRS = f"(SELECT DISTINCT v.id AS vid, g.id AS gid FROM (SELECT id, unnest({KEYS}) k FROM {PV}) v JOIN (SELECT id, unnest({KEYS}) k FROM {PG}) g USING (k))"
-CMP = f"""(SELECT p.vid, p.gid, v.clean vn, g.clean gn, v.name_tokens vt, g.name_tokens gt, v.ein ve, g.ein ge, v.phone vp, g.phone gp, v.email vm, g.email gm, v.state vs, g.state gs,
- v.zip5 v5, g.zip5 g5, v.zip3 v3, g.zip3 g3, v.city vc, g.city gc FROM {PAIRS} p JOIN {PV} v ON v.id = p.vid JOIN {PG} g ON g.id = p.gid
- WHERE NOT (v.ein IS NOT NULL AND g.ein IS NOT NULL AND v.ein <> g.ein) AND NOT (v.state IS NOT NULL AND g.state IS NOT NULL AND v.state <> g.state))"""
+KNOWN = "[" + ", ".join(f"'{w}'" for w in COMMODITY_ORDER) + "]"
+RAW = "trim(regexp_replace(regexp_replace(s, '[^a-z0-9 ]', '', 'g'), '\\s{2,}', ' ', 'g'))"
+GOODS = f"""list_concat(coalesce(flatten(list_transform(list_filter(list_transform(string_split_regex(lower(trim(v.commodity)), '[,;|/]+|\\band\\b'), lambda s: trim(s)), lambda s: s <> ''),
+ lambda s: CASE WHEN list_contains({KNOWN}, s) THEN [s] WHEN len(list_filter({KNOWN}, lambda k: contains(s, k))) > 0 THEN list_filter({KNOWN}, lambda k: contains(s, k)) WHEN length({RAW}) > 2 THEN [{RAW}] ELSE [] END)), []),
+ coalesce(list_filter([{", ".join(f"'{t}'" for t in TRADES)}], lambda t: contains(lower(v.display_name), t)), []))"""
+VSRC = f"""(SELECT * EXCLUDE (l), list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS goods FROM (
+ SELECT v.*, i.naics, CASE WHEN t.volume < 10000 THEN 'MICRO' WHEN t.volume < 50000 THEN 'LOW' WHEN t.volume < 250000 THEN 'MEDIUM' WHEN t.volume < 1000000 THEN 'HIGH' WHEN t.volume IS NOT NULL THEN 'VERY_HIGH' END AS bracket,
+ t.volume / t.n AS avg, {GOODS} AS l FROM {V} v LEFT JOIN {INDUSTRY} i ON i.category = v.category
+ LEFT JOIN (SELECT vendor_id, CAST(sum(total) AS DOUBLE) volume, count(*) n FROM {B} WHERE vendor_id IS NOT NULL GROUP BY 1) t ON t.vendor_id = v.vendor_id))"""
+GSRC = f"""(SELECT *, nullif(trim(naics_code), '') AS naics, nullif(trim(volume_bracket), '') AS bracket, CAST(avg_transaction AS DOUBLE) AS avg,
+ CASE WHEN json_valid(commodity_keywords) THEN list_filter(from_json(lower(commodity_keywords), '["varchar"]'), lambda x: x IS NOT NULL) END AS goods FROM {ONE})"""
+MORE = ", naics, goods, bracket, avg"
+FIELDS = ("clean", "name_tokens", "ein", "phone", "email", "state", "zip5", "zip3", "city", "naics", "goods", "bracket", "avg")
+
+
+def q_with(left: str, right: str) -> str:
+    """Personas of both sides, their candidate pairs and the pairs that nothing rules out."""
+    both = ", ".join(f"{x}.{c} AS {x}_{c}" for x in "vg" for c in FIELDS)
+    other = lambda c: f"NOT (v.{c} IS NOT NULL AND g.{c} IS NOT NULL AND v.{c} <> g.{c})"
+    return f"""WITH pv AS MATERIALIZED (SELECT *, {KEYS} AS keys, {JOIN_KEYS} AS jk FROM {left}), pg AS MATERIALIZED (SELECT *, {KEYS} AS keys, {JOIN_KEYS} AS jk FROM {right}),
+ hits AS MATERIALIZED (SELECT v.id vid, g.id gid, k FROM (SELECT id, unnest(jk) k FROM pv) v JOIN (SELECT id, unnest(jk) k FROM pg) g USING (k)),
+ pairs AS MATERIALIZED (SELECT DISTINCT vid, gid FROM hits),
+ cmp AS MATERIALIZED (SELECT p.vid, p.gid, {both} FROM pairs p JOIN pv v ON v.id = p.vid JOIN pg g ON g.id = p.gid WHERE {other('ein')} AND {other('state')})"""
+
+
+PVX, PGX = q_persona(VSRC, "vendor_id", more=MORE), q_persona(GSRC, "golden_record_id", "phone_digits", "zip5", "canonical_name", more=MORE)
+WITH = q_with(PVX, PGX)
 # names are compared by their ASCII characters: DuckDB compares bytes, Spark characters
-JW = "CASE WHEN vn = '' OR gn = '' THEN 0.0 ELSE jaro_winkler_similarity(regexp_replace(vn, '[^ -~]', '', 'g'), regexp_replace(gn, '[^ -~]', '', 'g')) END"
-JAC = "CASE WHEN len(list_distinct(vt)) = 0 OR len(list_distinct(gt)) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(vt), list_distinct(gt))) / len(list_distinct(list_concat(vt, gt))) END"
+JW = "CASE WHEN v_clean = '' OR g_clean = '' THEN 0.0 ELSE jaro_winkler_similarity(regexp_replace(v_clean, '[^ -~]', '', 'g'), regexp_replace(g_clean, '[^ -~]', '', 'g')) END"
+
+
+def q_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len(list_distinct({a})) = 0 OR len(list_distinct({b})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({a}), list_distinct({b}))) / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-def pairs(spark, d) -> DataFrame:
-    """Candidate pairs of vendors and golden records: equi-join of exploded blocking keys."""
-    v, g = vendor_persona(spark, d), golden_persona(spark, d)
-    kv, kg = v.select(F.col("id").alias("vid"), F.explode(keys_of(v)).alias("k")), g.select(F.col("id").alias("gid"), F.explode(keys_of(g)).alias("k"))
-    return kv.join(kg, "k").select("vid", "gid").distinct()
+JAC = q_jaccard("v_name_tokens", "g_name_tokens")
 
 
-def compared(spark, d) -> DataFrame:
+def pairs(v: DataFrame, g: DataFrame) -> DataFrame:
+    """Candidate pairs: equi-join of exploded blocking keys; keys that many share go with the name's first letters."""
+    kv, kg = v.select(F.col("id").alias("vid"), F.explode(join_keys(v)).alias("k")), g.select(F.col("id").alias("gid"), F.explode(join_keys(g)).alias("k"))
+    return kv.join(kg, "k")
+
+
+def sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Vendors and golden records, classified once."""
+    return cut(vendor_full(spark, d)), cut(golden_full(spark, d))
+
+
+def compared(v: DataFrame, g: DataFrame) -> DataFrame:
     """Pairs that nothing rules out, with both sides' fields."""
-    side = lambda p, x: p.select(F.col("id").alias(f"{x}id"), *[F.col(c).alias(f"{x}_{c}") for c in ("clean", "name_tokens", "ein", "phone", "email", "state", "zip5", "zip3", "city")])
-    j = pairs(spark, d).join(side(vendor_persona(spark, d), "v"), "vid").join(side(golden_persona(spark, d), "g"), "gid")
+    side = lambda p, x: p.select(F.col("id").alias(f"{x}id"), *[F.col(c).alias(f"{x}_{c}") for c in FIELDS])
+    j = pairs(v, g).select("vid", "gid").distinct().join(side(v, "v"), "vid").join(side(g, "g"), "gid")
     other = lambda c: F.coalesce(F.col(f"v_{c}") != F.col(f"g_{c}"), F.lit(False))
     return j.filter(~other("ein") & ~other("state"))
 
@@ -249,32 +317,59 @@ def _similarity() -> Column:
 
 
 def with_names(c: DataFrame) -> DataFrame:
-    """Jaro-Winkler once for each distinct pair of names."""
-    n = c.select("v_clean", "g_clean").distinct().withColumn("sim", _similarity())
+    """Jaro-Winkler once for each distinct pair of names, kept so that no filter runs it again."""
+    n = cut(c.select("v_clean", "g_clean").distinct().withColumn("sim", _similarity()))
     return c.join(n, ["v_clean", "g_clean"])
 
 
-@R.query("j7_blocking", f"SELECT vid, gid FROM {PAIRS}")
+@R.query("j7_blocking", f"{WITH} SELECT vid, gid FROM pairs")
 def j7(spark, d):
     """Blocking join."""
-    return pairs(spark, d)
+    return pairs(*sides(spark, d)).select("vid", "gid").distinct()
+
+
+def _rank(df: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each key, with their rank: a top-k, cut before and after the shuffle by Spark's window limit."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col("rank") <= most)
+
+
+@R.query("r1_candidates", f"""{WITH} SELECT vid, gid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, keys DESC, gid) AS rank FROM (
+ SELECT vid, gid, max(CASE WHEN split_part(k, ':', 1) IN ('ein', 'phone') THEN 1.0 ELSE 0.5 END)::DOUBLE AS score, count(DISTINCT k) AS keys FROM hits GROUP BY 1, 2)) WHERE rank <= 20""")
+def r1(spark, d):
+    """Candidates of each vendor: by anchors (EIN, phone) at 1.0, by other keys at 0.5; the twenty with most keys in common."""
+    score = F.max(F.when(F.substring_index("k", ":", 1).isin("ein", "phone"), 1.0).otherwise(0.5))
+    c = pairs(*sides(spark, d)).groupBy("vid", "gid").agg(score.alias("score"), F.count_distinct("k").alias("n"))
+    return _rank(c, "vid", [F.desc("score"), F.desc("n"), F.col("gid")], 20).select("vid", "gid", "score", "rank")
+
+
+GWITH = q_with(PGX, PGX)
+
+
+@R.query("r2_entity_candidates", f"""{GWITH} SELECT vid AS golden_record_id, gid AS candidate, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, keys DESC, gid) AS rank FROM (
+ SELECT vid, gid, max(CASE WHEN split_part(k, ':', 1) IN ('ein', 'phone') THEN 1.0 ELSE 0.5 END)::DOUBLE AS score, count(DISTINCT k) AS keys FROM hits WHERE vid <> gid GROUP BY 1, 2)) WHERE rank <= 20""")
+def r2(spark, d):
+    """Candidates of each golden record among the others in use."""
+    g = cut(golden_full(spark, d))
+    score = F.max(F.when(F.substring_index("k", ":", 1).isin("ein", "phone"), 1.0).otherwise(0.5))
+    c = pairs(g, g).filter("vid <> gid").groupBy("vid", "gid").agg(score.alias("score"), F.count_distinct("k").alias("n"))
+    return _rank(c, "vid", [F.desc("score"), F.desc("n"), F.col("gid")], 20).select(F.col("vid").alias("golden_record_id"), F.col("gid").alias("candidate"), "score", "rank")
 
 
-@R.query("e1_jaro_winkler", f"SELECT DISTINCT vn AS v_clean, gn AS g_clean, round({JW}, 6) AS sim FROM {CMP}")
+@R.query("e1_jaro_winkler", f"{WITH} SELECT DISTINCT v_clean, g_clean, round({JW}, 6) AS sim FROM cmp")
 def e1(spark, d):
     """Jaro-Winkler of the names of pairs."""
-    return compared(spark, d).select("v_clean", "g_clean").distinct().select("v_clean", "g_clean", F.round(_similarity(), 6).alias("sim"))
+    return compared(*sides(spark, d)).select("v_clean", "g_clean").distinct().select("v_clean", "g_clean", F.round(_similarity(), 6).alias("sim"))
 
 
-@R.query("e2_jaccard", f"SELECT vid, gid, round({JAC}, 6) AS jaccard FROM {CMP}")
+@R.query("e2_jaccard", f"{WITH} SELECT vid, gid, round({JAC}, 6) AS jaccard FROM cmp")
 def e2(spark, d):
     """Jaccard of the names' words."""
-    return compared(spark, d).select("vid", "gid", F.round(S.jaccard(F.col("v_name_tokens"), F.col("g_name_tokens")), 6).alias("jaccard"))
+    return compared(*sides(spark, d)).select("vid", "gid", F.round(S.jaccard(F.col("v_name_tokens"), F.col("g_name_tokens")), 6).alias("jaccard"))
 
 
-EM = "CASE WHEN ve IS NULL OR ge IS NULL THEN 'MISSING' WHEN ve = ge THEN 'EXACT' ELSE 'MISMATCH' END"
-PM = "CASE WHEN vp IS NULL OR gp IS NULL THEN 'MISSING' WHEN vp = gp THEN 'EXACT' WHEN vp[-7:] = gp[-7:] THEN 'PARTIAL' ELSE 'MISMATCH' END"
-MM = "CASE WHEN vm IS NULL OR gm IS NULL THEN 'MISSING' WHEN vm = gm THEN 'EXACT' WHEN string_split(vm, '@')[-1] = string_split(gm, '@')[-1] THEN 'DOMAIN_MATCH' ELSE 'MISMATCH' END"
+EM = "CASE WHEN v_ein IS NULL OR g_ein IS NULL THEN 'MISSING' WHEN v_ein = g_ein THEN 'EXACT' ELSE 'MISMATCH' END"
+PM = "CASE WHEN v_phone IS NULL OR g_phone IS NULL THEN 'MISSING' WHEN v_phone = g_phone THEN 'EXACT' WHEN v_phone[-7:] = g_phone[-7:] THEN 'PARTIAL' ELSE 'MISMATCH' END"
+MM = "CASE WHEN v_email IS NULL OR g_email IS NULL THEN 'MISSING' WHEN v_email = g_email THEN 'EXACT' WHEN string_split(v_email, '@')[-1] = string_split(g_email, '@')[-1] THEN 'DOMAIN_MATCH' ELSE 'MISMATCH' END"
 
 
 def _fields(c: DataFrame) -> tuple[Column, Column, Column]:
@@ -282,105 +377,185 @@ def _fields(c: DataFrame) -> tuple[Column, Column, Column]:
     return f(S.ein_match, "ein"), f(S.phone_match, "phone"), f(S.email_match, "email")
 
 
-@R.query("e4_field_match", f"SELECT vid, gid, {EM} AS ein, {PM} AS phone, {MM} AS email FROM {CMP}")
+@R.query("e4_field_match", f"{WITH} SELECT vid, gid, {EM} AS ein, {PM} AS phone, {MM} AS email FROM cmp")
 def e4(spark, d):
     """Exact, partial and missing fields of pairs."""
-    c = compared(spark, d)
+    c = compared(*sides(spark, d))
     a, b, m = _fields(c)
     return c.select("vid", "gid", a.alias("ein"), b.alias("phone"), m.alias("email"))
 
 
-ID = f"round(greatest({JW}, {JAC}, CASE WHEN {EM} = 'EXACT' THEN 1.0 ELSE 0 END, CASE {PM} WHEN 'EXACT' THEN 0.9 WHEN 'PARTIAL' THEN 0.6 ELSE 0 END, CASE {MM} WHEN 'EXACT' THEN 0.9 WHEN 'DOMAIN_MATCH' THEN 0.5 ELSE 0 END), 3)"
-LO = "CASE WHEN vs IS NULL OR gs IS NULL THEN NULL WHEN vs <> gs THEN 0.0 WHEN v5 = g5 THEN 1.0 WHEN v3 = g3 THEN 0.8 WHEN vc = gc THEN 0.7 ELSE 0.3 END"
-CO = f"CASE WHEN {LO} IS NULL THEN {ID} ELSE (0.35 * {ID} + 0.15 * {LO}) / 0.5 END"
-FAST = f"CASE WHEN {EM} = 'EXACT' AND vs = gs THEN 0.95 WHEN {JW} >= 0.95 AND vs = gs AND vc = gc THEN 0.9 ELSE round(CASE WHEN {JW} < 0.55 THEN least({CO}, 0.3) WHEN {JW} < 0.75 THEN least({CO}, 0.4) ELSE {CO} END, 4) END"
+LINKS = _values([(a, b) for a, b, _ in CROSS_LINKS] + [(b, a) for a, b, _ in CROSS_LINKS])
+Q_ID = f"round(greatest(jw, {JAC}, CASE WHEN {EM} = 'EXACT' THEN 1.0 ELSE 0 END, CASE {PM} WHEN 'EXACT' THEN 0.9 WHEN 'PARTIAL' THEN 0.6 ELSE 0 END, CASE {MM} WHEN 'EXACT' THEN 0.9 WHEN 'DOMAIN_MATCH' THEN 0.5 ELSE 0 END), 3)"
+Q_LO = "CASE WHEN v_state IS NULL OR g_state IS NULL THEN NULL WHEN v_state <> g_state THEN 0.0 WHEN v_zip5 = g_zip5 THEN 1.0 WHEN v_zip3 = g_zip3 THEN 0.8 WHEN v_city = g_city THEN 0.7 ELSE 0.3 END"
+Q_IN = f"CASE WHEN v_naics IS NULL OR g_naics IS NULL THEN NULL WHEN v_naics = g_naics THEN 1.0 WHEN v_naics[1:3] = g_naics[1:3] THEN 0.8 WHEN v_naics[1:2] = g_naics[1:2] THEN 0.5 WHEN (v_naics, g_naics) IN (VALUES {LINKS}) THEN 0.4 ELSE 0.0 END"
+Q_CO = f"CASE WHEN len(v_goods) > 0 AND len(g_goods) > 0 THEN round({q_jaccard('v_goods', 'g_goods')}, 3) END"
+Q_BE = """CASE WHEN v_bracket IS NULL OR g_bracket IS NULL THEN NULL WHEN v_avg IS NOT NULL AND v_avg <> 0 AND g_avg > 0 THEN CASE WHEN v_avg / g_avg BETWEEN 0.1 AND 10.0 THEN greatest(CASE WHEN v_bracket = g_bracket THEN 0.7 ELSE 0.3 END, 0.6)
+ ELSE least(CASE WHEN v_bracket = g_bracket THEN 0.7 ELSE 0.3 END, 0.2) END WHEN v_bracket = g_bracket THEN 0.7 ELSE 0.3 END"""
+WEIGHTS = {"identity": 0.35, "industry": 0.25, "location": 0.15, "commodity": 0.15, "behavioral": 0.10}
 
 
-def vendor_traits(spark, d) -> DataFrame:
-    """Industry, commodities and volume of each vendor."""
-    v = K.industries(L.vendors(spark, d), "category").select("vendor_id", "naics", K.commodities(F.col("commodity"), F.col("display_name")).alias("goods"))
-    s = L.silver(spark, d).filter("connection_type = 'vendor'").select(F.col("connection_id").alias("vendor_id"), "total_volume", "transaction_count")
-    b = K.bracket(F.col("total_volume"), F.col("transaction_count"))
-    s = s.withColumn("bracket", b).withColumn("avg", F.when(F.col("bracket").isNotNull(), F.col("total_volume") / F.col("transaction_count")))
-    return v.join(s, "vendor_id").select(F.col("vendor_id").alias("vid"), *[F.col(c).alias(f"v_{c}") for c in ("naics", "goods", "bracket", "avg")])
+def q_scored(prefix: str) -> str:
+    """The pairs with the five dimensions and the composite score."""
+    total = " + ".join(f"{w} * coalesce({k}, 0)" for k, w in WEIGHTS.items())
+    weight = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, w in WEIGHTS.items())
+    return f"""{prefix}, dims AS MATERIALIZED (SELECT *, CAST({Q_ID} AS DOUBLE) AS identity, CAST({Q_LO} AS DOUBLE) AS location, CAST({Q_IN} AS DOUBLE) AS industry, CAST({Q_CO} AS DOUBLE) AS commodity, CAST({Q_BE} AS DOUBLE) AS behavioral FROM (SELECT *, CAST({JW} AS DOUBLE) AS jw FROM cmp)),
+ whole AS (SELECT *, CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 0 END AS c FROM dims),
+ scored AS MATERIALIZED (SELECT *, CAST(CASE WHEN v_ein = g_ein AND v_state = g_state THEN 0.95 WHEN jw >= 0.95 AND v_state = g_state AND v_city = g_city THEN 0.90
+  ELSE round(CASE WHEN jw < 0.55 THEN least(c, 0.30) WHEN jw < 0.75 THEN least(c, 0.40) ELSE c END, 4) END AS DOUBLE) AS composite FROM whole),
+ best AS MATERIALIZED (SELECT vid, arg_min(gid, (-composite, gid)) AS gid, max(composite) AS composite FROM scored WHERE jw >= 0.75 AND vid <> CAST(gid AS VARCHAR) GROUP BY 1)"""
 
 
-def golden_traits(spark, d) -> DataFrame:
-    """Industry, commodities and volume of each golden record."""
-    goods = F.filter(F.from_json(F.lower("commodity_keywords"), "array<string>"), lambda g: g.isNotNull())
-    text = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return golden_one(spark, d).select(
-        F.col("golden_record_id").alias("gid"), text("naics_code").alias("g_naics"), goods.alias("g_goods"), text("volume_bracket").alias("g_bracket"), F.col("avg_transaction").cast("double").alias("g_avg")
-    )
+SCORED = q_scored(WITH.replace("p.vid,", "CAST(p.vid AS VARCHAR) AS vid,", 1))
 
 
-def scored(spark, d) -> DataFrame:
+def scored(v: DataFrame, g: DataFrame) -> DataFrame:
     """Pairs with the scores of all dimensions and the composite score, fast paths first."""
-    c = with_names(compared(spark, d)).join(vendor_traits(spark, d), "vid", "left").join(golden_traits(spark, d), "gid", "left")
+    c = with_names(compared(v, g))
     a, b, m = _fields(c)
     two = lambda n: (F.col(f"v_{n}"), F.col(f"g_{n}"))
     c = c.withColumn("identity", S.identity_score(F.col("sim"), S.jaccard(*two("name_tokens")), a, b, m)).withColumn("location", S.location_score(two("state"), two("zip5"), two("zip3"), two("city")))
-    links = F.array(*[F.lit(f"{x}>{y}") for a, b, _ in CROSS_LINKS for x, y in ((a, b), (b, a))])
-    c = c.withColumn("industry", S.industry_score(*two("naics"), F.array_contains(links, F.concat_ws(">", *two("naics")))))
+    links = [f"{x}>{y}" for a, b, _ in CROSS_LINKS for x, y in ((a, b), (b, a))]
+    c = c.withColumn("industry", S.industry_score(*two("naics"), F.concat_ws(">", *two("naics")).isin(*links)))
     c = c.withColumn("commodity", S.commodity_score(*two("goods"))).withColumn("behavioral", S.behavioral_score(*two("bracket"), *two("avg")))
-    whole = S.composite({k: F.col(k) for k in ("identity", "industry", "location", "commodity", "behavioral")}, F.col("sim"))
+    whole = S.composite({k: F.col(k) for k in WEIGHTS}, F.col("sim"))
     same = lambda n: F.coalesce(F.col(f"v_{n}") == F.col(f"g_{n}"), F.lit(False))
     fast = F.when(same("ein") & same("state"), 0.95).when((F.col("sim") >= 0.95) & same("state") & same("city"), 0.90).otherwise(whole)
     return c.withColumn("composite", fast)
 
 
-@R.query("e7_identity", f"SELECT vid, gid, {ID} AS identity, {LO} AS location FROM {CMP}")
+@R.query("e7_identity", f"{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, identity, location, industry, commodity, behavioral FROM scored")
 def e7(spark, d):
-    """Scores of the identity and location dimensions."""
-    return scored(spark, d).select("vid", "gid", "identity", "location")
+    """Scores of all five dimensions."""
+    return scored(*sides(spark, d)).select("vid", "gid", *[F.col(k).cast("double").alias(k) for k in WEIGHTS])
 
 
-@R.query("e12_composite", f"SELECT vid, gid, round({FAST}, 3) AS composite FROM {CMP}")
+@R.query("e12_composite", f"{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, round(composite, 3) AS composite FROM scored")
 def e12(spark, d):
-    """Composite score, capped for unlike names."""
-    return scored(spark, d).select("vid", "gid", F.round("composite", 3).alias("composite"))
+    """Composite score of all five dimensions, capped for unlike names."""
+    return scored(*sides(spark, d)).select("vid", "gid", F.round("composite", 3).alias("composite"))
 
 
-@R.query("e13_disqualify", f"SELECT count(*) AS pairs, (SELECT count(*) FROM {CMP}) AS kept FROM {PAIRS}")
+@R.query("e13_disqualify", f"{WITH} SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM cmp) AS kept")
 def e13(spark, d):
     """Pairs ruled out by contradicting EINs or states."""
-    a, b = pairs(spark, d).select(F.lit(1).alias("p"), F.lit(0).alias("k")), compared(spark, d).select(F.lit(0).alias("p"), F.lit(1).alias("k"))
+    v, g = sides(spark, d)
+    a, b = pairs(v, g).select("vid", "gid").distinct().select(F.lit(1).alias("p"), F.lit(0).alias("k")), compared(v, g).select(F.lit(0).alias("p"), F.lit(1).alias("k"))
     return a.unionByName(b).agg(F.sum("p").alias("pairs"), F.sum("k").alias("kept"))
 
 
-BEST = f"(SELECT vid, gid, c FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY c DESC, gid) rn FROM (SELECT vid, gid, {FAST} c FROM {CMP} WHERE {JW} >= 0.75)) WHERE rn = 1)"
+@R.query("r8_key_factors", f"""{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, concat_ws(', ', CASE WHEN {EM} = 'EXACT' THEN 'same EIN' END, CASE WHEN {PM} = 'EXACT' THEN 'same phone' END, CASE WHEN jw >= 0.9 THEN 'similar name' END,
+ CASE WHEN industry >= 0.8 THEN 'same industry' END, CASE WHEN location >= 0.7 THEN 'same place' END) AS factors FROM scored WHERE jw >= 0.75""")
+def r8(spark, d):
+    """What speaks for a pair, in words."""
+    c = scored(*sides(spark, d)).filter("sim >= 0.75")
+    e, p, _ = _fields(c)
+    words = ((e == "EXACT", "same EIN"), (p == "EXACT", "same phone"), (F.col("sim") >= 0.9, "similar name"), (F.col("industry") >= 0.8, "same industry"), (F.col("location") >= 0.7, "same place"))
+    return c.select("vid", "gid", F.concat_ws(", ", *[F.when(k, w) for k, w in words]).alias("factors"))
+
+
+@R.query("r5_blend", f"""{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, round(CASE WHEN len(list_distinct(v_name_tokens)) = 0 OR len(list_distinct(g_name_tokens)) = 0 THEN composite WHEN identity >= 0.55 THEN 0.6 * composite + 0.4 * {JAC}
+ ELSE 0.85 * composite + 0.15 * {JAC} END, 4) AS combined FROM scored WHERE jw >= 0.75""")
+def r5(spark, d):
+    """The composite blended with a second similarity: the words' Jaccard, where a deployment puts its vectors'."""
+    c = scored(*sides(spark, d)).filter("sim >= 0.75")
+    two = F.when((F.size("v_name_tokens") > 0) & (F.size("g_name_tokens") > 0), S.jaccard(F.col("v_name_tokens"), F.col("g_name_tokens")))
+    return c.select("vid", "gid", F.round(S.blend(F.col("composite"), two, F.col("identity")), 4).alias("combined"))
 
 
-def best(spark, d) -> DataFrame:
-    """The best candidate of each vendor past the name gate, by partial aggregation."""
-    s = scored(spark, d).filter("sim >= 0.75")
-    return s.groupBy("vid").agg(F.min_by(F.struct("gid", "composite"), F.struct(-F.col("composite"), F.col("gid"))).alias("b")).select("vid", "b.gid", "b.composite")
+def best(v: DataFrame, g: DataFrame) -> DataFrame:
+    """The best candidate of each record past the name gate, by partial aggregation."""
+    s = scored(v, g).filter("sim >= 0.75").filter(F.col("vid").cast("string") != F.col("gid"))
+    return cut(s.groupBy("vid").agg(F.min_by(F.struct("gid", "composite"), F.struct(-F.col("composite"), F.col("gid"))).alias("b")).select("vid", "b.gid", "b.composite"))
 
 
-@R.query("r6_decide", f"""SELECT v.id AS vid, CASE WHEN c > 0.82 THEN 'MERGE' WHEN c >= 0.45 THEN 'REVIEW' ELSE 'NEW_ENTITY' END AS decision, CASE WHEN c >= 0.45 THEN gid END AS gid FROM {PV} v LEFT JOIN {BEST} b ON b.vid = v.id""")
+LADDER = "CASE WHEN composite > 0.82 THEN 'MERGE' WHEN composite >= 0.45 THEN 'REVIEW' ELSE 'NEW_ENTITY' END"
+
+
+@R.query("r6_decide", f"{SCORED} SELECT v.id AS vid, {LADDER} AS decision, CASE WHEN composite >= 0.45 THEN gid END AS gid FROM pv v LEFT JOIN best b ON b.vid = CAST(v.id AS VARCHAR)")
 def r6(spark, d):
     """Decision for each vendor; doubtful ones go to review."""
+    v, g = sides(spark, d)
     c = F.col("composite")
-    out = vendor_persona(spark, d).select(F.col("id").alias("vid")).join(best(spark, d), "vid", "left")
-    return out.select("vid", F.when(c > 0.82, "MERGE").when(c >= 0.45, "REVIEW").otherwise("NEW_ENTITY").alias("decision"), F.when(c >= 0.45, F.col("gid")).alias("gid"))
+    out = v.select(F.col("id").alias("vid")).join(best(v, g), "vid", "left")
+    return out.select("vid", S.decide(c).alias("decision"), F.when(c >= 0.45, F.col("gid")).alias("gid"))
+
+
+FILLED = ("ein", "phone", "email", "state", "city", "zip5")
+
+
+@R.query("r10_survivorship", f"""{SCORED} SELECT g.id AS golden_record_id, {', '.join(f"coalesce(any_value(g.{c}), arg_min(v.{c}, v.id) FILTER (WHERE v.{c} IS NOT NULL)) AS {c}" for c in FILLED)},
+ CASE WHEN max(length(v.naics)) > coalesce(length(any_value(g.naics)), 0) THEN arg_min(v.naics, (-length(v.naics), v.id)) FILTER (WHERE v.naics IS NOT NULL) ELSE any_value(g.naics) END AS naics
+ FROM best b JOIN pg g ON g.id = b.gid JOIN pv v ON CAST(v.id AS VARCHAR) = b.vid WHERE composite > 0.82 GROUP BY 1""")
+def r10(spark, d):
+    """Survivorship of many records merged into one: missing fields filled in record order, the longer industry code wins."""
+    v, g = sides(spark, d)
+    m = best(v, g).filter("composite > 0.82").select(F.col("vid").alias("id"), "gid").join(v.select("id", *FILLED, "naics"), "id")
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"v_{c}") for c in FILLED]
+    longest = F.min_by("naics", F.when(F.col("naics").isNotNull(), F.struct((-F.length("naics")).alias("n"), "id")))
+    j = m.groupBy(F.col("gid").alias("gid")).agg(*first, longest.alias("v_naics")).join(g.select(F.col("id").alias("gid"), *FILLED, "naics"), "gid")
+    naics = F.when(F.length("v_naics") > F.coalesce(F.length("naics"), F.lit(0)), F.col("v_naics")).otherwise(F.col("naics"))
+    return j.select(F.col("gid").alias("golden_record_id"), *[F.coalesce(c, f"v_{c}").alias(c) for c in FILLED], naics.alias("naics"))
 
 
-@R.query("r11_merge_into", f"""SELECT g.golden_record_id, count(*) AS merged, least(0.99, CAST(any_value(g.confidence) AS DOUBLE) + 0.05 * count(*)) AS confidence, coalesce(any_value(nullif(g.ein, '')), arg_min(v.ein, v.id)) AS ein
- FROM (SELECT vid, gid FROM {BEST} WHERE c > 0.82) m JOIN {ONE} g ON g.golden_record_id = m.gid JOIN {PV} v ON v.id = m.vid GROUP BY 1""")
+@R.query("r11_merge_into", f"""{SCORED}, m AS (SELECT gid, count(*) n, count(DISTINCT v.clean) FILTER (WHERE v.clean <> g.clean) AS variants FROM best b JOIN pv v ON CAST(v.id AS VARCHAR) = b.vid JOIN pg g ON g.id = b.gid WHERE composite > 0.82 GROUP BY 1)
+ SELECT o.golden_record_id, n AS merged, CAST(coalesce(o.source_count, 0) + n AS BIGINT) AS source_count, variants AS new_variants, round(least(0.99, CAST(o.confidence AS DOUBLE) + 0.05 * n), 4) AS confidence FROM m JOIN {ONE} o ON o.golden_record_id = m.gid""")
 def r11(spark, d):
-    """Survivorship of many records merged into one: missing fields filled in record order."""
-    m = best(spark, d).filter("composite > 0.82").select("vid", F.col("gid").alias("golden_record_id"))
-    g = golden_one(spark, d).select("golden_record_id", F.col("confidence").cast("double").alias("conf"), F.nullif("ein", F.lit("")).alias("gein"))
-    j = m.join(g, "golden_record_id").join(vendor_persona(spark, d).select(F.col("id").alias("vid"), "ein"), "vid")
-    first = F.min_by("ein", F.when(F.col("ein").isNotNull(), F.col("vid")))
-    return j.groupBy("golden_record_id").agg(F.count(F.lit(1)).alias("merged"), F.least(F.lit(0.99), F.max("conf") + 0.05 * F.count(F.lit(1))).alias("confidence"), F.coalesce(F.max("gein"), first).alias("ein"))
+    """Records merged into a golden record: its sources, new spellings and confidence after all of them."""
+    v, g = sides(spark, d)
+    m = best(v, g).filter("composite > 0.82").join(v.select(F.col("id").alias("vid"), F.col("clean").alias("vc")), "vid").join(g.select(F.col("id").alias("gid"), F.col("clean").alias("gc")), "gid")
+    m = m.groupBy("gid").agg(F.count(F.lit(1)).alias("merged"), F.count_distinct(F.when(F.col("vc") != F.col("gc"), F.col("vc"))).alias("new_variants"))
+    o = golden_one(spark, d).select(F.col("golden_record_id").alias("gid"), "source_count", F.col("confidence").cast("double").alias("conf"))
+    return m.join(o, "gid").select(
+        F.col("gid").alias("golden_record_id"), "merged", (F.coalesce("source_count", F.lit(0)) + F.col("merged")).alias("source_count"), "new_variants", F.round(F.least(F.lit(0.99), F.col("conf") + 0.05 * F.col("merged")), 4).alias("confidence")
+    )
+
+
+@R.query("r12_create", f"""{SCORED} SELECT 'G-' || substr(md5('v-' || v.id), 1, 8) AS golden_record_id, clean AS canonical_name, 0.5::DOUBLE AS confidence, 'PHANTOM' AS entity_type, 'ACTIVE' AS status, round(avg * t.n, 2) AS volume
+ FROM pv v LEFT JOIN best b ON b.vid = CAST(v.id AS VARCHAR) LEFT JOIN (SELECT vendor_id, count(*) n FROM {B} GROUP BY 1) t ON t.vendor_id = v.id WHERE coalesce(composite, 0) < 0.45""")
+def r12(spark, d):
+    """A new golden record for each vendor without a match, with its volume."""
+    v, g = sides(spark, d)
+    n = L.bills(spark, d).groupBy(F.col("vendor_id").alias("vid")).agg(F.count(F.lit(1)).alias("n"))
+    new = v.withColumnRenamed("id", "vid").join(best(v, g).filter("composite >= 0.45"), "vid", "left_anti").join(n, "vid", "left")
+    gid = F.concat(F.lit("G-"), F.substring(F.md5(F.concat(F.lit("v-"), F.col("vid").cast("string"))), 1, 8))
+    return new.select(gid.alias("golden_record_id"), F.col("clean").alias("canonical_name"), F.lit(0.5).alias("confidence"), F.lit("PHANTOM").alias("entity_type"), F.lit("ACTIVE").alias("status"), F.round(F.col("avg") * F.col("n"), 2).alias("volume"))
+
+
+@R.query("r13_review", f"""{SCORED} SELECT 'PR-' || substr(md5(vid || '>' || gid), 1, 8) AS match_id, 'G-' || substr(md5('v-' || vid), 1, 8) AS orphan_golden_id, gid AS candidate_golden_id, composite AS confidence, 'PENDING' AS status
+ FROM best WHERE composite BETWEEN 0.45 AND 0.82""")
+def r13(spark, d):
+    """A pending row for each doubtful match; the record stands as a provisional golden record meanwhile."""
+    b = best(*sides(spark, d)).filter("composite between 0.45 and 0.82").withColumn("v", F.col("vid").cast("string"))
+    ident = lambda kind, *x: F.concat(F.lit(kind), F.substring(F.md5(F.concat(*x)), 1, 8))
+    return b.select(ident("PR-", "v", F.lit(">"), "gid").alias("match_id"), ident("G-", F.lit("v-"), "v").alias("orphan_golden_id"), F.col("gid").alias("candidate_golden_id"), F.col("composite").alias("confidence"), F.lit("PENDING").alias("status"))
+
 
+GSCORED = q_scored(GWITH)
 
-@R.query("r14_golden_merge", f"""SELECT survivor, CAST(sum(n) AS BIGINT) AS records, max(conf) AS confidence FROM (SELECT min(golden_record_id) OVER (PARTITION BY canonical_name, state) survivor, source_count n, CAST(confidence AS DOUBLE) conf FROM {ONE}) GROUP BY 1""")
+
+@R.query("r15_reevaluate", f"{GSCORED} SELECT vid AS golden_record_id, gid AS candidate, composite, CASE WHEN composite > 0.82 THEN 'MERGE' ELSE 'REVIEW' END AS decision FROM best WHERE composite >= 0.55")
+def r15(spark, d):
+    """Golden records held against the others again: to merge or to review."""
+    g = cut(golden_full(spark, d))
+    b = best(g, g).filter("composite >= 0.55")
+    return b.select(F.col("vid").alias("golden_record_id"), F.col("gid").alias("candidate"), "composite", F.when(F.col("composite") > 0.82, "MERGE").otherwise("REVIEW").alias("decision"))
+
+
+LISTS = """(SELECT golden_record_id, any_value(canonical_name) name, any_value(state) state, max(CAST(confidence AS DOUBLE)) conf,
+ list_sort(list_distinct(flatten(list(list_transform(coalesce(TRY_CAST(CASE WHEN json_valid(source_records) THEN from_json(lower(source_records), '["varchar"]') END AS VARCHAR[]), []), lambda x: trim(x)))))) src FROM {one} GROUP BY 1)"""
+
+
+@R.query("r14_golden_merge", f"""SELECT arg_min(golden_record_id, (-len(src), golden_record_id)) AS survivor, count(*) AS merged, CAST(len(list_distinct(flatten(list(src)))) AS BIGINT) AS source_count,
+ round(CASE WHEN count(*) > 1 THEN least(0.99, max(conf) + 0.05) ELSE max(conf) END, 4) AS confidence FROM {LISTS.replace('{one}', ONE)} GROUP BY name, state""")
 def r14(spark, d):
-    """Golden records of one name and state merged, their sources added up."""
-    g = golden_one(spark, d)
-    return g.groupBy("canonical_name", "state").agg(F.min("golden_record_id").alias("survivor"), F.sum("source_count").alias("records"), F.max(F.col("confidence").cast("double")).alias("confidence")).select("survivor", "records", "confidence")
+    """Golden records of one name and state merged: the one with most sources survives, the sources are united."""
+    src = F.coalesce(F.from_json(F.lower("source_records"), "array<string>"), F.array().cast("array<string>"))
+    g = golden_one(spark, d).select("golden_record_id", "canonical_name", "state", F.col("confidence").cast("double").alias("conf"), F.array_distinct(F.filter(F.transform(src, lambda x: F.trim(x)), lambda x: x.isNotNull())).alias("src"))
+    kept = g.groupBy("canonical_name", "state").agg(F.min_by("golden_record_id", F.struct(-F.size("src"), "golden_record_id")).alias("survivor"), F.count(F.lit(1)).alias("merged"), F.max("conf").alias("conf"))
+    united = g.select("canonical_name", "state", F.explode("src").alias("s")).distinct().groupBy("canonical_name", "state").agg(F.count(F.lit(1)).alias("k"))
+    j = kept.alias("a").join(united.alias("b"), F.col("a.canonical_name").eqNullSafe(F.col("b.canonical_name")) & F.col("a.state").eqNullSafe(F.col("b.state")), "left")
+    return j.select("survivor", "merged", F.coalesce("k", F.lit(0)).cast("long").alias("source_count"), F.round(F.when(F.col("merged") > 1, F.least(F.lit(0.99), F.col("conf") + 0.05)).otherwise(F.col("conf")), 4).alias("confidence"))
 
 
 @R.query("r19_edges", f"SELECT 'C' || company_id AS src, connection_id AS dst, CASE WHEN connection_type = 'customer' THEN 'SELLS_TO' ELSE 'BUYS_FROM' END AS rel_type FROM {SILVER} WHERE company_id IS NOT NULL")
@@ -424,7 +599,6 @@ def o1(spark, d):
 
 CP = f"(SELECT a.naics a, b.naics b FROM {CODES} a JOIN {CODES} b ON a.naics <= b.naics AND a.naics[1:1] = b.naics[1:1])"
 LCA = "CASE WHEN a = b THEN a WHEN a[1:5] = b[1:5] THEN a[1:5] WHEN a[1:4] = b[1:4] THEN a[1:4] WHEN a[1:3] = b[1:3] THEN a[1:3] WHEN a[1:2] = b[1:2] THEN a[1:2] END"
-LINKS = _values([(a, b) for a, b, _ in CROSS_LINKS] + [(b, a) for a, b, _ in CROSS_LINKS])
 
 
 def code_pairs(spark, d) -> DataFrame:

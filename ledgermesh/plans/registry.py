@@ -14,16 +14,20 @@ class Registry:
 
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
-        self.sql: dict[str, str] = {}
+        self._sql: dict[str, str | Callable[[], str]] = {}
 
-    def query(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
-        """Register a query; without sql it is tested against brute force instead."""
+    @property
+    def sql(self) -> dict[str, str]:
+        return {k: s() if callable(s) else s for k, s in self._sql.items()}
+
+    def query(self, name: str, sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+        """Register a query; without sql it is tested against brute force instead. SQL may be given by a function, called late."""
 
         def add(f: Query) -> Query:
             assert name not in self.queries, name
             self.queries[name] = f
             if sql is not None:
-                self.sql[name] = sql
+                self._sql[name] = sql
             return f
 
         return add

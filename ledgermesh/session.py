@@ -26,12 +26,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
-    The session's spark.checkpoint.dir wins; only where it is unset (tests on one
-    machine) a folder of this machine is made.
+    The session's spark.checkpoint.dir wins; only where it is unset and everything runs
+    on one machine (master local) a folder of this machine is made. On a cluster without
+    one this is an error, as executors would each write to their own disk.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgermesh-"))
     return named or sc.getCheckpointDir()
 
