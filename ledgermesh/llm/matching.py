@@ -44,22 +44,23 @@ def _evidence() -> Column:
     )
 
 
-def believe(pairs: DataFrame, rounds: int = 100, settled: float = 0.01, damping: float = 0.5) -> DataFrame:
+def believe(pairs: DataFrame, rounds: int = 100, settled: float = 0.01, damping: float = 0.3) -> DataFrame:
     """Loopy belief propagation: pairs (l, r, lc, rc, prior) with p, the marginal probability.
 
-    l and r are profiles of records, lc and rc the clusters of profiles that are one
-    business within their source (null where that is open). Each pair is a variable with
-    its prior log odds. One-to-one factors: a profile, and a cluster, belongs to one
-    cluster of the other source at most, so the clusters among its partners compete for it
-    (a cluster's pairs count as one, its strongest); partners without a cluster don't.
+    l and r are profiles of records, lc and rc the clusters they belong to within their
+    source: the rows of one name in one town are one business (null where the town is
+    open). Each pair is a variable with its prior log odds. One-to-one factors: a profile
+    belongs to one cluster of the other source at most, so the clusters among its partners
+    compete for it (a cluster's pairs count as one, its strongest); partners whose cluster
+    is open don't. Clusters of different towns exclude each other by the prior already.
     Messages go between pairs and factors by joins, damped so that loops don't swing, until
     no one changes by `settled`; a graph that hasn't settled after `rounds` is an error.
     """
-    sides = (("l", "lc", "rc", "m_l"), ("lc", "lc", "rc", "m_lc"), ("r", "rc", "lc", "m_r"), ("rc", "rc", "lc", "m_rc"))
+    sides = (("l", "rc", "m_l"), ("r", "lc", "m_r"))
     state = cut(pairs.withColumns({m: F.lit(0.0) for *_, m in sides}))
     for _ in range(rounds):
         whole = F.col("prior") + sum((F.col(m) for *_, m in sides), F.lit(0.0))
-        for side, _own, other, m in sides:
+        for side, other, m in sides:
             rival = state.filter(F.col(other).isNotNull() & F.col(side).isNotNull()).groupBy(side, other).agg(F.exp(F.least(F.max(whole - F.col(m)), F.lit(30.0))).alias("s"))
             total = rival.groupBy(side).agg(F.sum("s").alias("t"), F.count(F.lit(1)).alias("k")).filter("k > 1")
             state = state.join(rival.join(total, side), [side, other], "left")

@@ -77,6 +77,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(docs).select("doc_id", "ids")
 
 
+@R.query("p8_roundtrip", "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS same FROM documents")
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document's ids, decoded, are its text again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer.decode(tokenizer.encode(docs), out="back").select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce(F.col("back") == F.col("text"), F.lit(False))).alias("same"))
+
+
 VENDOR = ("display_name", "email", "phone", "ein", "street_address", "city", "state", "zip")
 
 

@@ -79,7 +79,8 @@ def depths(bags: list[Counter]) -> list[float]:
 
 def split_text(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int, int]] | None:
     """Pieces (start, end, tokens) of a text over the limit, else None."""
-    if len(text) <= limit * 4 and (len(text.encode("utf-8", "replace")) <= limit or len(encode(text)) <= limit):
+    # a token has a byte at least, and none reaches over a blank to another word: only between these bounds it is counted
+    if len(text.encode("utf-8", "replace")) <= limit or (len(text.split()) <= limit and len(encode(text)) <= limit):
         return None
     # a unit takes a quarter of the room at most, so that a natural end is always in reach
     room = limit - overlap
@@ -87,9 +88,6 @@ def split_text(text: str, limit: int, overlap: int, encode) -> list[tuple[int, i
     starts = [0, *ends[:-1]]
     parts = [text[a:b] for a, b in zip(starts, ends)]
     sizes = [len(encode(p)) for p in parts]
-    # cutting a text into units adds two tokens to each at most
-    if sum(sizes) - 2 * len(sizes) <= limit and len(encode(text)) <= limit:
-        return None
     deep = depths([Counter(WORD.findall(p.lower())) for p in parts])
     for k, p in enumerate(parts[:-1]):
         deep[k] += 0.3 * p.endswith("\n\n") + 0.15 * p.endswith("\n") + (0.1 if p[-1:] in ".!?。！？" else -0.5 if not p.endswith("\n") else 0.0)

@@ -222,3 +222,21 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = f"
 
     ids = let(tables_of(path), lambda tb: let(let(let(let(words, lambda w: known(w, tb)), rare), lambda s: folded(s, tb)), placed))
     return docs.select(*own, F.when(F.col(f"`{text}`").isNotNull(), ids).alias(out))
+
+
+def decode(rows: DataFrame, ids: str = "ids", out: str = "text", path: str = f"{VOCABULARIES}/{DEFAULT}") -> DataFrame:
+    """The texts that lists of token ids stand for, in a new column `out`: their binary pieces, concatenated.
+
+    * null ids give null, no ids the empty text
+    * an id outside the vocabulary, or null, makes the whole text null
+    * pieces may cut a character; bytes that make no whole character at the end stay as they are
+    """
+    table = ranks(path)
+    pieces = [""] * (max(table.values()) + 1)
+    for token, rank in table.items():
+        pieces[rank] = token.hex()
+    own = [F.col(f"`{c}`") for c in rows.columns if c != out]
+    hexes = let(_literal(pieces, "string"), lambda t: F.transform(F.col(f"`{ids}`"), lambda i: F.when(i >= 0, F.get(t, i))))
+    joined = F.unhex(F.array_join(hexes, "")).cast("string")
+    known = ~F.exists(hexes, lambda x: x.isNull() | (x == ""))
+    return rows.select(*own, F.when(F.col(f"`{ids}`").isNotNull() & known, joined).alias(out))

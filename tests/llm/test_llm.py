@@ -39,6 +39,14 @@ def test_encode(spark):
     assert T.encode(docs(spark, TEXTS[:1]).limit(0)).collect() == []
 
 
+def test_decode(spark):
+    df = docs(spark, TEXTS)
+    got = {x.doc_id: (x.text, x.back) for x in T.decode(T.encode(df, out="ids"), out="back").collect()}
+    assert all(a == b for a, b in got.values()) and len(got) == len(TEXTS)
+    odd = spark.createDataFrame([(1, [999_999]), (2, [None]), (3, []), (4, None), (5, [0, -1])], "n long, ids array<int>")
+    assert {x.n: x.text for x in T.decode(odd).collect()} == {1: None, 2: None, 3: "", 4: None, 5: None}
+
+
 def test_pack(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice(["alpha", "bill", "vendor", "due"]) for _ in range(r.randrange(0, 60))) for _ in range(400)] + [None, "", "word " * 500]
@@ -276,3 +284,20 @@ def test_survivors_by_values_between(spark):
     got = {x.g: (x.terms, x.terms_from) for x in survivors(m, "g", "vid", "_t", ["terms"], [(history, "h")]).collect()}
     # z before m before a, though m is in neither group; a and b of one day have no order
     assert got == {"g1": ("a", 3), "g2": ("a", 4)}
+
+
+def test_survivors_of_a_ring(spark):
+    day = lambda n: datetime(2024, 1, n)
+    # a before b before c before a, and d before a: of four undated values d is the worst, however frequent
+    h = [(f"{x}{y}", day(1 + k), (x, y)[k]) for x, y in ("ab", "bc", "ca", "da") for k in (0, 1)]
+    history = spark.createDataFrame(h, "h string, _t timestamp_ntz, terms string")
+    m = spark.createDataFrame([("g", i, None, x) for i, x in enumerate("dddabc")], "g string, vid long, _t timestamp_ntz, terms string")
+    got = survivors(m, "g", "vid", "_t", ["terms"], [(history, "h")]).collect()
+    assert len(got) == 1 and got[0].terms == "a"
+
+
+def test_a_text_at_the_limit_is_not_cut():
+    e = Encode(PATH)
+    text = "é" + "internationalization" * 3 + ". " + "a b. " * 40
+    n = len(e(text))
+    assert split_text(text, n, 0, e) is None and split_text(text, n - 1, 0, e)
