@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a result in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stow(df: DataFrame) -> DataFrame:
+    """The same for wide results: a compressed table in the shared folder, read back column by column.
+
+    It stays until the folder is removed with the job, as nothing tells when its last reader is done.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
