@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, stow
 from .names import variants
 
 #: Log odds of the evidence on a pair of profiles whose names are variants.
@@ -83,7 +83,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     shared number (EIN, phone, e-mail name) pair the profiles that share it.
     """
     def profiles(rows: DataFrame, side: str) -> DataFrame:
-        return cut(rows.select(F.col("_p").alias(side), *[F.col(c).alias(f"{side}{c}") for c in PROFILE]).distinct())
+        return stow(rows.select(F.col("_p").alias(side), *[F.col(c).alias(f"{side}{c}") for c in PROFILE]).distinct())
 
     def keyed(p: DataFrame, side: str) -> DataFrame:
         keys = F.explode(F.array_compact(F.array(*[F.concat(F.lit(k), F.col(f"{side}{c}")) for k, c in NUMBERS])))
@@ -92,7 +92,7 @@ def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     pl, pr = profiles(left, "l"), profiles(right, "r")
     kl, kr = keyed(pl, "l"), keyed(pr, "r")
     # names that share a number, each pair and number once
-    by_number = cut(kl.select("l_name", "key").distinct().join(kr.select("r_name", "key").distinct(), "key").filter("l_name not like '|%' and r_name not like '|%'"))
+    by_number = stow(kl.select("l_name", "key").distinct().join(kr.select("r_name", "key").distinct(), "key").filter("l_name not like '|%' and r_name not like '|%'"))
     kinds = by_number.groupBy(F.col("l_name").alias("l"), F.col("r_name").alias("r")).agg(F.count_distinct(F.substring("key", 1, 1)).alias("k"))
     found = variants(names_of(left), names_of(right), kinds)
     found = found.select(F.col("l").alias("l_name"), F.col("r").alias("r_name"), "shared", "sim")
@@ -117,7 +117,7 @@ def match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, least:
     * missing fields (null, blank, fillers) say nothing; records without a name match nothing
     * repeated rows share a profile; empty inputs give no rows
     """
-    left, right = cut(named(left)), cut(named(right))
+    left, right = named(left), named(right)
     cluster = lambda s: F.when(F.col(f"{s}_town").isNotNull(), F.xxhash64(F.col(f"{s}_town"), F.coalesce(f"{s}_state", F.lit(""))))
     prior = candidates(left, right).select("l", "r", cluster("l").alias("lc"), cluster("r").alias("rc"), _evidence().alias("prior"))
     sure = cut(believe(prior).filter(F.col("p") >= least).select("l", "r", F.round("p", 4).alias("confidence")))
@@ -135,7 +135,7 @@ def link_to_masters(rows: DataFrame, masters: DataFrame, row_id: str, master_id:
     * a master may have several names (one row each); missing fields say nothing
     * records without a name link to nothing; empty inputs give no rows
     """
-    rows, masters = cut(named(rows)), cut(named(masters))
+    rows, masters = named(rows), named(masters)
     clash = lambda c: F.col(f"l{c}").isNotNull() & F.col(f"r{c}").isNotNull() & (F.col(f"l{c}") != F.col(f"r{c}"))
     towns = F.col("l_town").isNotNull() & F.col("r_town").isNotNull()
     met = candidates(rows, masters).filter(~clash("_town") & (towns | ~clash("_state")) & ~(clash("_ein") & (F.col("sim") < 0.95)))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..session import cut
+from ..session import stow
 from .records import distance, same_form, shortened
 
 #: Soft similarity from which two names are variants of one.
@@ -159,7 +159,7 @@ def variants(left: DataFrame, right: DataFrame, shared: DataFrame) -> DataFrame:
     entry = F.struct((-F.col("f")).alias("f"), "i", "x")
     own = words.groupBy("side", "n").agg(*[F.first(c).alias(c) for c in ("firsts", "initial", "trade")], F.array_sort(F.collect_list(F.struct("i", "x", "f"))).alias("c"), F.max(entry).alias("h"))
     weight = F.transform("c", lambda e: F.log(F.lit(float(total)) / e["f"]))
-    own = cut(own.select("side", "n", F.xxhash64("n").alias("h"), "firsts", "initial", "trade", F.col("c.x").alias("core"), weight.alias("w"), F.col("h.x").alias("heavy")))
+    own = stow(own.select("side", "n", F.xxhash64("n").alias("h"), "firsts", "initial", "trade", F.col("c.x").alias("core"), weight.alias("w"), F.col("h.x").alias("heavy")))
 
     def elements(side: str) -> DataFrame:
         """Words by which a name is found: on the left its prefix, on the right all; and its joined writing."""
@@ -189,4 +189,4 @@ def variants(left: DataFrame, right: DataFrame, shared: DataFrame) -> DataFrame:
     agree = given_names_agree("l_", "r_") | ((F.col("shared") > 0) & ((F.size("l_core") > 1) | (F.size("r_core") > 1)))
     met = pairs.join(of("l"), "l").join(of("r"), "r").filter(agree)
     sim = soft("l_core", "l_w", "l_trade", "r_core", "r_w", "r_trade", "shared")
-    return cut(met.select(F.col("ln").alias("l"), F.col("rn").alias("r"), "shared", sim.alias("sim"))).filter(F.col("sim") >= SIMILAR)
+    return stow(met.select(F.col("ln").alias("l"), F.col("rn").alias("r"), "shared", sim.alias("sim"))).filter(F.col("sim") >= SIMILAR)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..session import cut
+from ..session import cut, stow
 
 # Words of legal form, articles and titles; they say nothing about whose name it is.
 LEGAL = set(
@@ -397,7 +397,7 @@ def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, str
     """
     w, a = F.col("_w"), F.col("_a")
     text = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
-    staged = cut(rows.select(
+    staged = stow(rows.select(
         *keep,
         words_of(F.col(name)).alias("_w"),
         address_parts(F.col(street)).alias("_a"),
@@ -421,4 +421,4 @@ def take_apart(rows: DataFrame, name: str, email: str, phone: str, ein: str, str
         F.coalesce(text(F.col("_city")), n["town"], F.lit("")).alias("_city"),
     )
     staged = staged.withColumn("_city", F.when(F.length("_city") > 3, F.col("_city")).otherwise(""))
-    return with_towns(cut(staged))
+    return with_towns(stow(staged))
