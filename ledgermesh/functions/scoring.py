@@ -117,7 +117,7 @@ def composite(scores: dict[str, Column], name_similarity: Column, config: Scorin
     total = sum((has[k] * F.coalesce(c, F.lit(0.0)) for k, c in scores.items()), F.lit(0.0))
     c = F.when(weight > 0, total / weight).otherwise(F.lit(0.0))
     capped = F.when(name_similarity < 0.55, F.least(c, F.lit(0.30))).when(name_similarity < 0.75, F.least(c, F.lit(0.40))).otherwise(c)
-    return F.round(capped, 4)
+    return F.round(capped + 1e-9, 4)  # a half is rounded up, however it is held in binary
 
 
 def blend(composite: Column, other: Column, identity: Column) -> Column:

@@ -35,11 +35,11 @@ def g1(spark, d):
     return e.join(end("src"), "src").join(end("dst"), "dst").select("src", "dst", "volume", F.greatest("dsrc", "ddst").alias("depth"))
 
 
-@R.query("g2_supply_chain", f"SELECT 'downstream' AS direction, root, id, depth FROM {_walk(N, "('C1'), ('C5')", 5)} WHERE depth > 0 UNION ALL SELECT 'upstream', root, id, depth FROM {_walk(f'(SELECT dst src, src dst FROM {N})', "('C1'), ('C5')", 5)} WHERE depth > 0")
+@R.query("g2_supply_chain", f"SELECT 'downstream' AS direction, root, id, depth FROM {_walk(N, "('C1'), ('C1017')", 5)} WHERE depth > 0 UNION ALL SELECT 'upstream', root, id, depth FROM {_walk(f'(SELECT dst src, src dst FROM {N})', "('C1'), ('C1017')", 5)} WHERE depth > 0")
 def g2(spark, d):
     """Everything up and down the supply chain of two companies with its least depth, to five steps."""
     e = cut(L.trade(spark, d))
-    side = lambda x, name: X.levels(x, _roots(spark, "C1", "C5"), 5).filter("depth > 0").select(F.lit(name).alias("direction"), "root", "id", "depth")
+    side = lambda x, name: X.levels(x, _roots(spark, "C1", "C1017"), 5).filter("depth > 0").select(F.lit(name).alias("direction"), "root", "id", "depth")
     return side(e, "downstream").unionByName(side(_back(e), "upstream"))
 
 
@@ -66,28 +66,32 @@ def g4(spark, d):
     return w.filter("depth > 0").select(F.col("root").alias("a"), F.col("id").alias("b"), F.col("depth").alias("hops"), "path")
 
 
+CYCLED = ("C1", "C1017", "C1144")
+
+
 def _cycles(n: int) -> str:
     names = "abcd"[:n]
     joins = " ".join(f"JOIN e {y} ON {x}.dst = {y}.src" for x, y in zip(names, names[1:]))
     apart = " AND ".join(f"{x}.src <> {y}.src" for i, x in enumerate(names) for y in names[i + 1 :])
-    return f"SELECT {n} AS hops, {" || '>' || ".join(f'{x}.src' for x in names)} || '>C1' AS path FROM e a {joins} WHERE a.src = 'C1' AND {names[-1]}.dst = 'C1' AND {apart}"
+    return f"SELECT {n} AS hops, {" || '>' || ".join(f'{x}.src' for x in names)} || '>' || a.src AS path FROM e a {joins} WHERE a.src IN {CYCLED} AND {names[-1]}.dst = a.src AND {apart}"
 
 
 @R.query("g5_cycles", f"WITH e AS MATERIALIZED (SELECT * FROM {N}) SELECT * FROM ({' UNION ALL '.join(_cycles(n) for n in (2, 3, 4))}) ORDER BY hops, path LIMIT 10")
 def g5(spark, d):
-    """Directed cycles of two to four edges through a company, the ten shortest.
+    """Directed cycles of two to four edges through some companies, the ten shortest.
 
     Walked from both sides, two steps out and two steps back, and joined in the middle, so
     no path that can't return is carried further.
     """
     e = cut(L.trade(spark, d).select("src", "dst"))
-    out1 = e.filter("src = 'C1'").select(F.col("dst").alias("x"))
-    in1 = e.filter("dst = 'C1'").select(F.col("src").alias("z"))
-    out2 = out1.join(e.filter("dst <> 'C1'"), F.col("x") == F.col("src")).select("x", F.col("dst").alias("y"))
-    two = out1.join(in1, F.col("x") == F.col("z")).select(F.lit(2).alias("hops"), F.concat_ws(">", F.lit("C1"), "x", F.lit("C1")).alias("path"))
-    three = out2.join(in1, F.col("y") == F.col("z")).filter("x <> y").select(F.lit(3).alias("hops"), F.concat_ws(">", F.lit("C1"), "x", "y", F.lit("C1")).alias("path"))
-    in2 = in1.join(e.filter("src <> 'C1'"), F.col("z") == F.col("dst")).select(F.col("src").alias("y"), "z")
-    four = out2.join(in2, "y").filter("x <> y and y <> z and x <> z").select(F.lit(4).alias("hops"), F.concat_ws(">", F.lit("C1"), "x", "y", "z", F.lit("C1")).alias("path"))
+    out1 = e.filter(F.col("src").isin(*CYCLED)).select(F.col("src").alias("r"), F.col("dst").alias("x"))
+    in1 = e.filter(F.col("dst").isin(*CYCLED)).select(F.col("dst").alias("r"), F.col("src").alias("z"))
+    out2 = out1.join(e.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x").filter("y <> r")
+    in2 = in1.join(e.select(F.col("src").alias("y"), F.col("dst").alias("z")), "z").filter("y <> r")
+    found = lambda rows, n, *way: rows.select(F.lit(n).alias("hops"), F.concat_ws(">", "r", *way, "r").alias("path"))
+    two = found(out1.join(in1.withColumnRenamed("z", "x"), ["r", "x"]), 2, "x")
+    three = found(out2.join(in1.withColumnRenamed("z", "y"), ["r", "y"]).filter("x <> y"), 3, "x", "y")
+    four = found(out2.join(in2, ["r", "y"]).filter("x <> y and y <> z and x <> z"), 4, "x", "y", "z")
     return two.unionByName(three).unionByName(four).orderBy("hops", "path").limit(10)
 
 
@@ -115,18 +119,18 @@ def g7(spark, d):
     return j.groupBy("depth").agg(F.count_distinct("src").alias("affected"), F.round(F.sum(F.col("volume").cast("decimal(18,2)")).cast("double"), 2).alias("volume"))
 
 
-@R.query("g9_add_existing", f"SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM {UND} UNION SELECT 'C1', 'C5') WHERE src = 'C1'")
+@R.query("g9_add_existing", f"SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM {UND} UNION SELECT 'C1', 'C1017') WHERE src = 'C1'")
 def g9(spark, d):
     """An edge is added where missing; then the neighbourhood."""
-    more = spark.createDataFrame([("C1", "C5")], "src string, dst string")
+    more = spark.createDataFrame([("C1", "C1017")], "src string, dst string")
     return X.undirected(L.trade(spark, d)).unionByName(more).filter("src = 'C1'").select(F.col("dst").alias("id")).distinct()
 
 
-@R.query("g10_remove", f"SELECT src, dst FROM {N} WHERE NOT (src = 'C1' AND dst IN (SELECT dst FROM {N} WHERE src = 'C5'))")
+@R.query("g10_remove", f"SELECT src, dst FROM {N} WHERE NOT (src = 'C1' AND dst IN (SELECT dst FROM {N} WHERE src = 'C1017'))")
 def g10(spark, d):
     """Connections of a company taken away that another has too, by an anti-join."""
     n = L.trade(spark, d)
-    gone = n.filter("src = 'C5'").select(F.lit("C1").alias("src"), "dst")
+    gone = n.filter("src = 'C1017'").select(F.lit("C1").alias("src"), "dst")
     return n.join(gone, ["src", "dst"], "left_anti").select("src", "dst")
 
 
@@ -143,10 +147,10 @@ def g13(spark, d):
     return X.levels(X.undirected(L.trade(spark, d)), _roots(spark, "C1"), 4).select("id", "depth", "parent")
 
 
-@R.query("a13_min_depth", f"SELECT id, min(depth) AS depth FROM {_walk(UND, "('C1'), ('C5'), ('C11')", 4)} GROUP BY 1")
+@R.query("a13_min_depth", f"SELECT id, min(depth) AS depth FROM {_walk(UND, "('C1'), ('C1017'), ('C1084')", 4)} GROUP BY 1")
 def a13(spark, d):
     """Least depth of each node from any of several roots."""
-    return X.levels(X.undirected(L.trade(spark, d)), _roots(spark, "C1", "C5", "C11"), 4).groupBy("id").agg(F.min("depth").alias("depth"))
+    return X.levels(X.undirected(L.trade(spark, d)), _roots(spark, "C1", "C1017", "C1084"), 4).groupBy("id").agg(F.min("depth").alias("depth"))
 
 
 @R.query("a18_path_insights", f"""WITH e AS MATERIALIZED (SELECT * FROM {N}), p AS (SELECT a.dst x, b.src y, c.dst z, a.volume v FROM e a JOIN e b ON a.dst = b.dst JOIN e c ON b.src = c.src WHERE a.src = 'C1' AND b.src <> 'C1' AND c.dst <> a.dst),

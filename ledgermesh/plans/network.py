@@ -225,12 +225,12 @@ def j5(spark, d):
 UND = f"(SELECT src a, dst b, volume FROM {TRADE} UNION ALL SELECT dst, src, volume FROM {TRADE})"
 
 
-@R.query("j6_common_neighbors", f"SELECT DISTINCT x.b AS id FROM {UND} x JOIN {UND} y ON x.b = y.b WHERE x.a = 'C1' AND y.a IN ('C2', 'C3', 'C4', 'C5', 'C6', 'C7', 'C8', 'C9')")
+@R.query("j6_common_neighbors", f"SELECT DISTINCT x.b AS id FROM {UND} x JOIN {UND} y ON x.b = y.b WHERE x.a = 'C1' AND y.a IN ('C1002', 'C1003', 'C1004', 'C1005', 'C1006', 'C1007', 'C1008', 'C1017')")
 def j6(spark, d):
     """Neighbours that a company shares with any of some others."""
     n = L.trade(spark, d)
     u = n.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(n.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    other = [f"C{i}" for i in range(2, 10)]
+    other = [f"C{i}" for i in (*range(1002, 1009), 1017)]
     return u.filter("a = 'C1'").select(F.col("b").alias("id")).intersect(u.filter(F.col("a").isin(*other)).select(F.col("b").alias("id")))
 
 

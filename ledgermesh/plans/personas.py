@@ -402,7 +402,7 @@ def q_scored(prefix: str) -> str:
     return f"""{prefix}, dims AS MATERIALIZED (SELECT *, CAST({Q_ID} AS DOUBLE) AS identity, CAST({Q_LO} AS DOUBLE) AS location, CAST({Q_IN} AS DOUBLE) AS industry, CAST({Q_CO} AS DOUBLE) AS commodity, CAST({Q_BE} AS DOUBLE) AS behavioral FROM (SELECT *, CAST({JW} AS DOUBLE) AS jw FROM cmp)),
  whole AS (SELECT *, CASE WHEN {weight} > 0 THEN ({total}) / ({weight}) ELSE 0 END AS c FROM dims),
  scored AS MATERIALIZED (SELECT *, CAST(CASE WHEN v_ein = g_ein AND v_state = g_state THEN 0.95 WHEN jw >= 0.95 AND v_state = g_state AND v_city = g_city THEN 0.90
-  ELSE round(CASE WHEN jw < 0.55 THEN least(c, 0.30) WHEN jw < 0.75 THEN least(c, 0.40) ELSE c END, 4) END AS DOUBLE) AS composite FROM whole),
+  ELSE round(CASE WHEN jw < 0.55 THEN least(c, 0.30) WHEN jw < 0.75 THEN least(c, 0.40) ELSE c END + 1e-9, 4) END AS DOUBLE) AS composite FROM whole),
  best AS MATERIALIZED (SELECT vid, arg_min(gid, (-composite, gid)) AS gid, max(composite) AS composite FROM scored WHERE jw >= 0.75 AND vid <> CAST(gid AS VARCHAR) GROUP BY 1)"""
 
 
@@ -430,10 +430,10 @@ def e7(spark, d):
     return scored(*sides(spark, d)).select("vid", "gid", *[F.col(k).cast("double").alias(k) for k in WEIGHTS])
 
 
-@R.query("e12_composite", f"{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, round(composite, 3) AS composite FROM scored")
+@R.query("e12_composite", f"{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, round(composite + 1e-9, 3) AS composite FROM scored")
 def e12(spark, d):
     """Composite score of all five dimensions, capped for unlike names."""
-    return scored(*sides(spark, d)).select("vid", "gid", F.round("composite", 3).alias("composite"))
+    return scored(*sides(spark, d)).select("vid", "gid", F.round(F.col("composite") + 1e-9, 3).alias("composite"))
 
 
 @R.query("e13_disqualify", f"{WITH} SELECT (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM cmp) AS kept")
@@ -455,12 +455,12 @@ def r8(spark, d):
 
 
 @R.query("r5_blend", f"""{SCORED} SELECT CAST(vid AS BIGINT) AS vid, gid, round(CASE WHEN len(list_distinct(v_name_tokens)) = 0 OR len(list_distinct(g_name_tokens)) = 0 THEN composite WHEN identity >= 0.55 THEN 0.6 * composite + 0.4 * {JAC}
- ELSE 0.85 * composite + 0.15 * {JAC} END, 4) AS combined FROM scored WHERE jw >= 0.75""")
+ ELSE 0.85 * composite + 0.15 * {JAC} END + 1e-9, 4) AS combined FROM scored WHERE jw >= 0.75""")
 def r5(spark, d):
     """The composite blended with a second similarity: the words' Jaccard, where a deployment puts its vectors'."""
     c = scored(*sides(spark, d)).filter("sim >= 0.75")
     two = F.when((F.size("v_name_tokens") > 0) & (F.size("g_name_tokens") > 0), S.jaccard(F.col("v_name_tokens"), F.col("g_name_tokens")))
-    return c.select("vid", "gid", F.round(S.blend(F.col("composite"), two, F.col("identity")), 4).alias("combined"))
+    return c.select("vid", "gid", F.round(S.blend(F.col("composite"), two, F.col("identity")) + 1e-9, 4).alias("combined"))
 
 
 def best(v: DataFrame, g: DataFrame) -> DataFrame:
