@@ -56,10 +56,11 @@ def test_composite_has_all_dimensions(spark, monkeypatch):
     pairs = spark.createDataFrame([(v, g, *side, *other) for v, g in ((1, "a"), (2, "b"), (3, "c"))], schema)
     traits = "naics string, goods array<string>, bracket string, avg double"
     of = lambda s, i, t: spark.createDataFrame(t, f"{i}, " + ", ".join(f"{s}_{x}" for x in traits.split(", ")))
-    monkeypatch.setattr(P, "compared", lambda *_: pairs)
-    monkeypatch.setattr(P, "vendor_traits", lambda *_: of("v", "vid long", [(1, "423720", ["pipe", "wire"], "LOW", 100.0), (2, "423720", [], None, None), (3, "423720", ["pipe"], "LOW", 5.0)]))
-    monkeypatch.setattr(P, "golden_traits", lambda *_: of("g", "gid string", [("a", "238220", ["pipe"], "HIGH", 50.0), ("b", None, ["pipe"], "LOW", 1.0), ("c", "423999", ["oak"], "LOW", 500.0)]))
-    got = {x.vid: x for x in P.scored(spark, "").collect()}
+    vendors = of("v", "vid long", [(1, "423720", ["pipe", "wire"], "LOW", 100.0), (2, "423720", [], None, None), (3, "423720", ["pipe"], "LOW", 5.0)])
+    golden = of("g", "gid string", [("a", "238220", ["pipe"], "HIGH", 50.0), ("b", None, ["pipe"], "LOW", 1.0), ("c", "423999", ["oak"], "LOW", 500.0)])
+    whole = pairs.join(vendors, "vid").join(golden, "gid")
+    monkeypatch.setattr(P, "compared", lambda *_: whole)
+    got = {x.vid: x for x in P.scored(None, None).collect()}
     assert [(got[v].industry, got[v].commodity, got[v].behavioral) for v in (1, 2, 3)] == [(0.4, 0.5, 0.6), (None, None, None), (0.8, 0.0, 0.2)]
     i, loc = got[1].identity, got[1].location
     assert abs(got[1].composite - round(0.35 * i + 0.25 * 0.4 + 0.15 * loc + 0.15 * 0.5 + 0.10 * 0.6, 4)) < 2e-4
