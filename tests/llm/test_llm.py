@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 from datetime import datetime
 
@@ -17,6 +18,7 @@ from ledgermesh.llm.packing import encoder, pack
 from ledgermesh.llm.records import common_words, distance, letters, name_words, read_name, split_address, stands_for, take_apart, usable_email
 from ledgermesh.llm.splitting import Encode, split_oversized, split_text
 from ledgermesh.llm.survivors import survivors
+from ledgermesh.session import cut, stow
 
 PATH = f"{T.VOCABULARIES}/{T.DEFAULT}"
 TEXTS = [
@@ -301,3 +303,17 @@ def test_a_text_at_the_limit_is_not_cut():
     text = "é" + "internationalization" * 3 + ". " + "a b. " * 40
     n = len(e(text))
     assert split_text(text, n, 0, e) is None and split_text(text, n - 1, 0, e)
+
+
+def test_stowed_tables_leave_no_shuffle_and_are_not_broadcast(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    t = stow(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.sum("id").alias("s")))
+    c = cut(spark.range(5000).groupBy((F.col("id") % 50).alias("k")).agg(F.sum("id").alias("s")))
+    until = time.time() + 10  # files are removed by another thread
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and t.count() == c.count() == 50
+    joined = t.select("k").distinct().join(t.select("k", "s"), "k")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 50
