@@ -81,7 +81,7 @@ def buildings(rows: DataFrame, ident: str) -> DataFrame:
 
     Takes the fields of records.take_apart. The distinct spellings are banded by
     MinHash over the street's q-grams and its words as written; in each bucket of one
-    house number and town the spellings are verified against the most written one by
+    house number and town all pairs of spellings are verified by
     affine-gap alignment of these words, with the dictionaries of street types, points
     and ordinals inside the cost of substitution. Spellings so linked, over others too,
     share the street; a missing type, compass point or town is taken from the spellings of the
@@ -104,19 +104,22 @@ def buildings(rows: DataFrame, ident: str) -> DataFrame:
     banded = streets.filter(~F.col("_street").rlike("^[0-9]+$")).select(*own, "n", "_words", F.explode(signature(F.array_distinct(F.concat(grams, tokens)))).alias("_b"))
     banded = banded.select(*own, "n", "_words", "_b.*")
     band = ["_house", "_place", "band", "h"]
-    lead = F.struct("n", F.length("_street"), F.col("_street").alias("_head"), F.col("_words").alias("_other"))
-    head = banded.groupBy(*band).agg(F.max(lead).alias("_l")).select(*band, "_l.n", "_l._head", "_l._other").withColumnRenamed("n", "m")
-    pairs = banded.join(head, band).filter("_head <> _street").groupBy(*own, "_head").agg(F.max("m").alias("m"), F.first("_words").alias("_words"), F.first("_other").alias("_other"))
-    close = pairs.filter(alignment("_words", "_other") <= LIMIT)
-    best = cut(close.groupBy(*own).agg(F.max_by("_head", F.struct("m", "_head")).alias("_name")))
-    # a head may have a head of its own, written no less often: followed to the last, twice as far each round
+    near = ["_house", "_place", "band", "h"]
+    other = banded.select(*near, F.col("_street").alias("_head"), F.col("_words").alias("_other"))
+    pairs = banded.join(other, near).filter("_street < _head").groupBy(*own, "_head").agg(F.first("_words").alias("_words"), F.first("_other").alias("_other"))
+    close = stow(pairs.withColumn("_cost", alignment("_words", "_other")).select(*own, "_head", "_cost")).filter(F.col("_cost") <= LIMIT)
+    links = stow(close.select(*own, "_head").unionByName(close.select("_house", "_place", F.col("_head").alias("_street"), F.col("_street").alias("_head"))))
+    # linked spellings go by the most written one that they reach, a link further each round
+    lead = F.struct("n", F.length("_street").alias("k"), "_street")
+    best = cut(links.select(*own).distinct().join(streets, own).select(*own, lead.alias("_lead")))
     while True:
-        up = best.select("_house", "_place", F.col("_street").alias("_name"), F.col("_name").alias("_top"))
-        best = cut(best.join(up, ["_house", "_place", "_name"], "left").select(*own, F.coalesce("_top", "_name").alias("_name"), F.col("_top").isNotNull().alias("_moved")))
+        reached = best.select("_house", "_place", F.col("_street").alias("_head"), F.col("_lead").alias("_l"))
+        reached = links.join(reached, ["_house", "_place", "_head"]).groupBy(*own).agg(F.max("_l").alias("_l"))
+        best = cut(best.join(reached, own).select(*own, F.greatest("_lead", "_l").alias("_lead"), (F.col("_l") > F.col("_lead")).alias("_moved")))
         if best.filter("_moved").isEmpty():
             break
         best = best.drop("_moved")
-    best = best.drop("_moved")
+    best = best.select(*own, F.col("_lead._street").alias("_name"))
     named = known.withColumn("_place", place).join(best, own, "left").withColumn("_name", F.coalesce("_name", "_street"))
     # a town for rows without, if the state's spellings of this house and street name one
     house = named.filter("_town is not null").groupBy("_house", "_name", "_state").agg(F.min("_town").alias("_only"), F.max("_town").alias("_last")).filter("_only = _last")
