@@ -9,7 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermesh.llm import tokenizer as T
+from ledgermesh.llm import names, queries, tokenizer as T
 from ledgermesh.llm.addresses import align, same_building
 from ledgermesh.llm.components import components
 from ledgermesh.llm.matching import link_to_masters, match
@@ -333,3 +333,22 @@ def test_spellings_link_that_have_different_heads(spark):
         rows += [(10 * k + i, [f"n{i}", None, None, None, f"{100 + k} {''.join(w).title()} St", "Overby", "WA", "86780"]) for i, w in enumerate(written)]
     at = {r.id: r._building for r in of(same_building_ids(spark, rows)).select("id", "_building").collect()}
     assert all(at[10 * k] == at[10 * k + 1] for k in range(1, 11))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_words_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(names, "stow", lambda df: plans.append(plan_of(df)) or stow(df))
+    rows = stow(spark.createDataFrame([("a", ["prilisk", "zoden"], [], "", [])], "n string, core array<string>, firsts array<string>, initial string, trade array<string>"))
+    assert variants(rows, rows, none(spark)).count() == 1
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_listed_ids_are_not_broadcast(spark, monkeypatch):
+    plans, taken = [], queries.records
+    monkeypatch.setattr(queries, "records", lambda **t: plans.append(plan_of(t["rows"])) or taken(**t))
+    assert queries.p5_found(spark, "/root/testdata/sf0.001").count() > 0
+    assert plans and "LeftAnti" in plans[0] and "BroadcastHashJoin" not in plans[0]
