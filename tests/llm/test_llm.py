@@ -1,6 +1,7 @@
 """Operators tagged llm against brute force, known cases, nulls, ties, empties and clashing names."""
 
 import math
+import os
 import random
 import time
 from collections import Counter
@@ -13,12 +14,12 @@ from ledgermesh.llm import names, queries, tokenizer as T
 from ledgermesh.llm.addresses import align, same_building
 from ledgermesh.llm.components import components
 from ledgermesh.llm.matching import link_to_masters, match
-from ledgermesh.llm.names import SIMILAR, SMOOTH, name_similarity, slip_keys, soft_similarity, trades_agree, variants, word_similarity
+from ledgermesh.llm.names import SIMILAR, SMOOTH, letter_counts, name_similarity, slip_keys, soft_similarity, trades_agree, variants, word_similarity
 from ledgermesh.llm.packing import encoder, pack
 from ledgermesh.llm.records import common_words, distance, letters, name_words, read_name, split_address, stands_for, take_apart, usable_email
 from ledgermesh.llm.splitting import Encode, split_oversized, split_text
 from ledgermesh.llm.survivors import survivors
-from ledgermesh.session import cut, stow
+from ledgermesh.session import cut, discard, shared_dir, stow
 
 PATH = f"{T.VOCABULARIES}/{T.DEFAULT}"
 TEXTS = [
@@ -352,3 +353,29 @@ def test_listed_ids_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(queries, "records", lambda **t: plans.append(plan_of(t["rows"])) or taken(**t))
     assert queries.p5_found(spark, "/root/testdata/sf0.001").count() > 0
     assert plans and "LeftAnti" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_discarded_tables_are_gone(spark, tmp_path):
+    t, kept = stow(spark.range(5)), stow(spark.range(7))
+    spark.range(3).write.parquet(f"{tmp_path}/table-x")
+    own = spark.read.parquet(f"{tmp_path}/table-x")
+    discard(t.select("id").filter("id > 1"), own)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())
+    assert kept.count() == 7 and own.count() == 3
+
+
+def test_letter_counts_bound_edits(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdz-9") for _ in range(r.randint(1, 9)))
+    rows = spark.createDataFrame([(word(), word()) for _ in range(2000)] + [("aabbccdd", "eeffgghh")], "a string, b string")
+    bits = F.bit_count(letter_counts(F.col("a")).bitwiseXOR(letter_counts(F.col("b"))))
+    assert rows.select(bits.alias("n"), F.levenshtein("a", "b").alias("d")).filter("n > 2 * d").count() == 0
+    assert rows.filter("a = 'aabbccdd'").select(bits.alias("n")).first().n == 16
+
+
+def test_variants_keep_one_table(spark):
+    rows = spark.createDataFrame([("a", ["prilisk", "zoden"], [], "", []), ("b", ["prilizk", "zoden"], [], "", [])], "n string, core array<string>, firsts array<string>, initial string, trade array<string>")
+    home = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(home))
+    assert variants(rows, rows, none(spark)).count() == 4
+    assert len({f for f in os.listdir(home) if f.startswith("table-")} - before) == 1
