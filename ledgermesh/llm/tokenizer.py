@@ -10,21 +10,28 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import discard, stow
+
 #: Folder of the public vocabularies and the default file (one line a token: base64 bytes, rank).
 VOCABULARIES = "/opt/tokenizers"
 DEFAULT = "byte_bpe_50k.tiktoken"
 
-#: The vocabulary's published split pattern; \s there means these code points.
+#: The vocabulary's published split pattern, letters and numbers first; \s there means these code points.
 _SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + "]+"
+    r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^" + _SPACE + r"\p{L}\p{N}]+|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + "]+"
 )
 
+#: Places where texts may be cut: before one space with neither a space before it nor a space or the end behind it.
+PLACE = "(?= [^" + _SPACE + "])(?<![" + _SPACE + "])"
+
 NONE = 1 << 30
-#: Words up to so many bytes take the plainer fold.
-SHORT = 64
-#: Places of the table of whole words.
+#: Words up to so many bytes take the plainer fold; numbers of its state over OPEN stand for no merge.
+SHORT, OPEN = 64, 1 << 29
+#: Least places of the table of known strings.
 SLOTS = 1 << 17
+#: The most frequent pieces and words of a corpus, so many of each, that stand LEAST times and have up to LONG bytes are folded once for all of it.
+PIECES, WORDS, LEAST, LONG = 1 << 14, 1 << 15, 3, 128
 
 
 @lru_cache(maxsize=4)
@@ -84,17 +91,22 @@ def _pair_tables(path: str) -> tuple[list[int], list[int], list[int]]:
 
 
 @lru_cache(maxsize=4)
-def _word_tables(path: str) -> tuple[list[str], list[int]]:
-    """Whole words that are one token: a table with two places for each word, by its hash."""
-    words = {}
+def _words(path: str) -> dict[str, list[int]]:
+    """Whole words that are one token."""
+    out = {}
     for token, rank in ranks(path).items():
         try:
-            words[token.decode()] = rank
+            out[token.decode()] = [rank]
         except UnicodeDecodeError:
             pass
-    n = SLOTS
+    return out
+
+
+def _slots(known: dict[str, list[int]]) -> tuple[list[str], list[list[int] | None]]:
+    """A table with two places for each string, by its hash."""
+    n = max(SLOTS, 1 << (5 * len(known) // 2).bit_length())
     slots: list[str | None] = [None] * n
-    for w in words:
+    for w in known:
         w0, at = w, None
         for _ in range(500):
             places = _places(w, n)
@@ -105,7 +117,7 @@ def _word_tables(path: str) -> tuple[list[str], list[int]]:
             at = None if at not in _places(w, n) else at
         else:
             raise ValueError(f"no place for {w0!r}")
-    return [w if w is not None else "" for w in slots], [words[w] if w is not None else -1 for w in slots]
+    return [w if w is not None else "" for w in slots], [known[w] if w is not None else None for w in slots]
 
 
 def _places(w: str, n: int) -> tuple[int, int]:
@@ -128,21 +140,22 @@ def _pair(a: Column, b: Column, tables: list[Column]) -> Column:
     return F.when(F.get(owner, place) == a, F.get(value, place)).otherwise(F.lit(NONE))
 
 
-def tables_of(path: str) -> Column:
-    """All tables of a vocabulary as one literal, so that a plan holds them once."""
+def tables_of(path: str, known: dict[str, list[int]]) -> Column:
+    """All tables of a vocabulary, and the strings whose ids are known, as one literal, so that a plan holds them once."""
     start, owner, value = _pair_tables(path)
-    words, ids = _word_tables(path)
+    strings, ids = _slots(known)
     single = [ranks(path)[bytes([i])] for i in range(256)]
-    parts = (("start", start, "int"), ("owner", owner, "int"), ("value", value, "int"), ("single", single, "int"), ("words", words, "string"), ("ids", ids, "int"))
-    return F.struct(*[_literal(v, kind).alias(k) for k, v, kind in parts])
+    parts = (("start", start, "int"), ("owner", owner, "int"), ("value", value, "int"), ("single", single, "int"), ("strings", strings, "string"), ("ids", ids, "array<int>"))
+    return F.struct(*[_literal(v, kind).alias(k) for k, v, kind in parts], F.lit(len(strings) - 1).cast("long").alias("last"))
 
 
 def fold(word: Column, tb: Column) -> Column:
     """Ids of one word: ranked merges folded over the array of its bytes.
 
     The state holds the ids so far and, at each place, the rank of the merge with the
-    id before it; a round applies the smallest rank at all its places, from the left.
-    In words over SHORT bytes, runs of one id are merged in one round too.
+    id before it. In words of up to SHORT bytes a round applies the first merge of the
+    smallest rank and ranks anew only what stands beside it; in longer ones it applies
+    all of that rank, from the left, runs of one id too.
     """
     tables, single = [tb["start"], tb["owner"], tb["value"]], tb["single"]
     plain = F.transform(F.split(word, ""), lambda c: F.get(single, F.ascii(c)))
@@ -153,74 +166,104 @@ def fold(word: Column, tb: Column) -> Column:
     )
     first = F.when(F.length(word) == F.octet_length(word), plain).otherwise(coded)
 
+    def few(t: Column) -> Column:
+        """Ranks and places in one number, so that the least tells both; past the end there may be numbers over OPEN."""
+
+        def ranked(a: Column, b: Column, i: Column) -> Column:
+            start, owner, value = tables
+            place = F.get(start, a) + b
+            return F.when(F.get(owner, place) == a, F.get(value, place) * SHORT + i).otherwise(F.lit(NONE))
+
+        def merged(s: Column, m: Column) -> Column:
+            t, r, i, x = s["t"], s["r"], m.bitwiseAND(SHORT - 1), F.shiftright(m, SHORT.bit_length() - 1)
+            ids = F.concat(F.slice(t, F.lit(1), i - 1), F.array(x), F.slice(t, i + 2, F.lit(SHORT)))
+            beside = F.array(ranked(F.get(t, i - 2), x, i - 1), ranked(x, F.get(t, i + 1), i))
+            rest = F.transform(F.slice(r, i + 3, F.lit(SHORT)), lambda y: y - 1)
+            return F.struct(ids.alias("t"), F.concat(F.slice(r, F.lit(1), i - 1), beside, rest).alias("r"))
+
+        zero = F.struct(t.alias("t"), F.transform(t, lambda x, i: ranked(F.get(t, i - 1), x, i)).alias("r"))
+        return F.aggregate(
+            t, zero, lambda s, _: let(F.array_min(s["r"]), lambda m: F.when(m < OPEN, merged(s, m)).otherwise(s)), lambda s: s["t"]
+        )
+
     def state(t: Column) -> Column:
         r = F.transform(t, lambda x, i: F.when(i == 0, F.lit(NONE)).otherwise(_pair(F.get(t, i - 1), x, tables)))
         return F.struct(t.alias("t"), r.alias("r"), F.array_min(r).alias("m"))
 
-    def merged(s: Column, hit) -> Column:
-        kept = F.transform(
-            s["t"], lambda x, i: F.when(hit(i), s["m"]).when(hit(i + 1), F.lit(-1)).otherwise(x)
+    def merged(s: Column) -> Column:
+        marks = F.array_join(F.transform(s["r"], lambda x: F.when(x == s["m"], "1").otherwise("0")), "")
+        hit = F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
+        kept = lambda p: F.transform(
+            s["t"], lambda x, i: F.when(F.get(p, i) == "1", s["m"]).when(F.get(p, i + 1) == "1", F.lit(-1)).otherwise(x)
         )
-        return F.filter(kept, lambda x: x >= 0)
+        return F.filter(let(hit, kept), lambda x: x >= 0)
 
-    def short(s: Column) -> Column:
-        return merged(s, lambda i: (F.get(s["r"], i) == s["m"]) & ((i < 2) | (F.get(s["r"], i - 1) != s["m"])))
+    def many(t: Column) -> Column:
+        return F.aggregate(t, let(t, state), lambda s, _: F.when(s["m"] < NONE, let(merged(s), state)).otherwise(s), lambda s: s["t"])
 
-    def long(s: Column) -> Column:
-        marks = F.array_join(F.transform(s["r"], lambda x: F.when(x == s["m"], "1").otherwise("0")), "")
-        pick = F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
-        both = F.transform(F.array(pick), lambda p: merged(s, lambda i: F.get(p, i) == "1"))
-        return F.get(both, F.lit(0))
+    return let(first, lambda t: F.when(F.size(t) <= SHORT, few(t)).otherwise(many(t)))
 
-    def run(step) -> Column:
-        zero = F.transform(F.array(first), state)
-        return F.aggregate(
-            first,
-            F.get(zero, F.lit(0)),
-            lambda s, _: F.when(
-                s["m"] < NONE, F.get(F.transform(F.array(step(s)), state), F.lit(0))
-            ).otherwise(s),
-            lambda s: s["t"],
-        )
 
-    return F.when(F.octet_length(word) <= SHORT, run(short)).otherwise(run(long))
+def lookup(string: Column, tb: Column) -> Column:
+    """Ids of a string that the table of known strings has, else null."""
+    keys, values, last = tb["strings"], tb["ids"], tb["last"]
+    h = F.xxhash64(string)
+    one = h.bitwiseAND(last).cast("int")
+    two = F.shiftrightunsigned(h, 32).bitwiseAND(last).cast("int")
+    return F.when(F.get(keys, one) == string, F.get(values, one)).when(F.get(keys, two) == string, F.get(values, two))
 
 
-def lookup(word: Column, tb: Column) -> Column:
-    """Id of a word that is one token, else null."""
-    keys, values = tb["words"], tb["ids"]
-    h = F.xxhash64(word)
-    one = h.bitwiseAND(SLOTS - 1).cast("int")
-    two = F.shiftrightunsigned(h, 32).bitwiseAND(SLOTS - 1).cast("int")
-    return F.when(F.get(keys, one) == word, F.get(values, one)).when(F.get(keys, two) == word, F.get(values, two))
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+
+
+def pieces_of(text: Column) -> Column:
+    """A text cut before each single space between other characters; no word of the split pattern crosses such a place."""
+    return F.split(text, PLACE)
+
+
+def coded(piece: Column, tb: Column) -> Column:
+    """Ids of one piece, word by word."""
+    return F.flatten(F.transform(words_of(piece), lambda w: F.coalesce(lookup(w, tb), fold(w, tb))))
+
+
+def learned(docs: DataFrame, text: str, path: str) -> dict[str, list[int]]:
+    """Ids of the strings that are worth knowing: words of one token, and frequent pieces and words of these texts.
+
+    Pieces are made distinct over the corpus and counted, and then the words of the pieces
+    that are not frequent; the most frequent of either are folded once. At most PIECES and
+    WORDS come to the driver, however large the corpus. What stays out is folded where it
+    stands, so a string's being here changes no ids.
+    """
+    known, tables = dict(_words(path)), tables_of(path, _words(path))
+    column = F.col(f"`{text}`")
+
+    def top(counted: DataFrame, most: int) -> DataFrame:
+        own = counted.filter((F.col("n") >= LEAST) & (F.octet_length("x") <= LONG))
+        return own.orderBy(F.desc("n"), "x").limit(most)
+
+    def ids(strings: DataFrame) -> dict[str, list[int]]:
+        rows = strings.repartition("x").select("x", let(tables, lambda tb: F.coalesce(lookup(F.col("x"), tb), coded(F.col("x"), tb))).alias("e"))
+        return {r.x: r.e for r in rows.collect()}
+
+    pieces = stow(docs.select(F.explode(pieces_of(column)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    frequent = stow(top(pieces, PIECES))
+    rest = pieces.join(frequent.select("x"), "x", "left_anti").select("n", F.explode(words_of(F.col("x"))).alias("x"))
+    unknown = rest.groupBy("x").agg(F.sum("n").alias("n")).filter(let(tables, lambda tb: lookup(F.col("x"), tb)).isNull())
+    known |= ids(top(unknown, WORDS)) | ids(frequent)
+    discard(pieces, frequent)
+    return known
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = f"{VOCABULARIES}/{DEFAULT}") -> DataFrame:
-    """The texts as lists of token ids, in a new column `out`, without special tokens."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))
-
-    def known(w: Column, tb: Column) -> Column:
-        return F.struct(w.alias("w"), F.transform(w, lambda x: lookup(x, tb)).alias("c"))
-
-    def rare(s: Column) -> Column:
-        r = F.array_distinct(F.filter(s["w"], lambda x, i: F.get(s["c"], i).isNull()))
-        return F.struct(s["w"].alias("w"), s["c"].alias("c"), r.alias("r"))
-
-    def folded(s: Column, tb: Column) -> Column:
-        return F.struct(s["w"].alias("w"), s["c"].alias("c"), s["r"].alias("r"), F.transform(s["r"], lambda x: fold(x, tb)).alias("e"))
-
-    def placed(s: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                s["w"],
-                lambda x, i: F.when(F.get(s["c"], i).isNotNull(), F.array(F.get(s["c"], i))).otherwise(
-                    F.get(s["e"], (F.array_position(s["r"], x) - 1).cast("int"))
-                ),
-            )
-        )
+    """The texts as lists of token ids, in a new column `out`, without special tokens.
 
-    ids = let(tables_of(path), lambda tb: let(let(let(let(words, lambda w: known(w, tb)), rare), lambda s: folded(s, tb)), placed))
+    The texts are read twice: the strings that are frequent in them are learned first.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns if c != out]
+    known = learned(docs, text, path)
+    pieces = pieces_of(F.col(f"`{text}`"))
+    ids = let(tables_of(path, known), lambda tb: F.flatten(F.transform(pieces, lambda x: F.coalesce(lookup(x, tb), coded(x, tb)))))
     return docs.select(*own, F.when(F.col(f"`{text}`").isNotNull(), ids).alias(out))
 
 

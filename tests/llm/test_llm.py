@@ -42,6 +42,26 @@ def test_encode(spark):
     assert T.encode(docs(spark, TEXTS[:1]).limit(0)).collect() == []
 
 
+def test_encode_learns_frequent_strings(spark, monkeypatch):
+    """Frequent pieces and words are folded once for all texts; which are changes no ids, nor do odd blanks between pieces."""
+    blanks = [" ", "  ", "\n", "\n ", " \n", "\r\n\r", "\t ", "　", " \u00a0", ""]
+    r = random.Random(5)
+    parts = ["Zorvaxil", "95041", "the", "$57,378.66", "don't", "'ll", "日遅れています", "…"]
+    texts = TEXTS + [r.choice(blanks) + "".join(r.choice(parts) + r.choice(blanks) for _ in range(r.randrange(1, 30))) for _ in range(150)]
+    e = encoder(PATH)
+    for most in (T.PIECES, 1):
+        monkeypatch.setattr(T, "PIECES", most)
+        monkeypatch.setattr(T, "WORDS", most)
+        known = T.learned(docs(spark, texts), "text", PATH)
+        assert all(e.encode_ordinary(w) == i for w, i in known.items() if w not in T._words(PATH))
+        assert (" Zorvaxil" in known) == (most > 1) and 0 < len(known) - len(T._words(PATH)) <= 2 * most
+        assert " y" + "y" * 128 not in known
+    got = {x.doc_id: x.out for x in T.encode(docs(spark, texts), out="out").collect()}
+    assert all(got[i] == (None if t is None else e.encode_ordinary(t)) for i, t in enumerate(texts))
+    cut = docs(spark, texts).select("doc_id", F.array_join(T.pieces_of(F.col("text")), "").alias("t")).collect()
+    assert {x.doc_id: x.t for x in cut} == dict(enumerate(texts))
+
+
 def test_decode(spark):
     df = docs(spark, TEXTS)
     got = {x.doc_id: (x.text, x.back) for x in T.decode(T.encode(df, out="ids"), out="back").collect()}
