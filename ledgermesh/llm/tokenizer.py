@@ -28,10 +28,8 @@ PLACE = "(?= [^" + _SPACE + "])(?<![" + _SPACE + "])"
 NONE = 1 << 30
 #: Words up to so many bytes take the plainer fold; numbers of its state over OPEN stand for no merge.
 SHORT, OPEN = 64, 1 << 29
-#: Least places of the table of known strings.
-SLOTS = 1 << 17
 #: The most frequent pieces and words of a corpus, so many of each, that stand LEAST times and have up to LONG bytes are folded once for all of it.
-PIECES, WORDS, LEAST, LONG = 1 << 14, 1 << 15, 3, 128
+PIECES, WORDS, LEAST, LONG = 1 << 12, 1 << 12, 3, 128
 
 
 @lru_cache(maxsize=4)
@@ -102,9 +100,9 @@ def _words(path: str) -> dict[str, list[int]]:
     return out
 
 
-def _slots(known: dict[str, list[int]]) -> tuple[list[str], list[list[int] | None]]:
-    """A table with two places for each string, by its hash."""
-    n = max(SLOTS, 1 << (5 * len(known) // 2).bit_length())
+def _slots(known: dict[str, list[int]]) -> tuple[list[str], list[int], list[list[int]]]:
+    """A table with two places for each string, by its hash: the strings, their id or -1 - the place of their ids, and these ids."""
+    n = 1 << (2 * len(known)).bit_length()
     slots: list[str | None] = [None] * n
     for w in known:
         w0, at = w, None
@@ -117,7 +115,9 @@ def _slots(known: dict[str, list[int]]) -> tuple[list[str], list[list[int] | Non
             at = None if at not in _places(w, n) else at
         else:
             raise ValueError(f"no place for {w0!r}")
-    return [w if w is not None else "" for w in slots], [known[w] if w is not None else None for w in slots]
+    several = {w: i for i, w in enumerate(w for w, e in known.items() if len(e) != 1)}
+    values = [0 if w is None else -1 - several[w] if w in several else known[w][0] for w in slots]
+    return [w if w is not None else "" for w in slots], values, [known[w] for w in several]
 
 
 def _places(w: str, n: int) -> tuple[int, int]:
@@ -143,9 +143,9 @@ def _pair(a: Column, b: Column, tables: list[Column]) -> Column:
 def tables_of(path: str, known: dict[str, list[int]]) -> Column:
     """All tables of a vocabulary, and the strings whose ids are known, as one literal, so that a plan holds them once."""
     start, owner, value = _pair_tables(path)
-    strings, ids = _slots(known)
+    strings, ids, several = _slots(known)
     single = [ranks(path)[bytes([i])] for i in range(256)]
-    parts = (("start", start, "int"), ("owner", owner, "int"), ("value", value, "int"), ("single", single, "int"), ("strings", strings, "string"), ("ids", ids, "array<int>"))
+    parts = (("start", start, "int"), ("owner", owner, "int"), ("value", value, "int"), ("single", single, "int"), ("strings", strings, "string"), ("ids", ids, "int"), ("several", several, "array<int>"))
     return F.struct(*[_literal(v, kind).alias(k) for k, v, kind in parts], F.lit(len(strings) - 1).cast("long").alias("last"))
 
 
@@ -210,7 +210,8 @@ def lookup(string: Column, tb: Column) -> Column:
     h = F.xxhash64(string)
     one = h.bitwiseAND(last).cast("int")
     two = F.shiftrightunsigned(h, 32).bitwiseAND(last).cast("int")
-    return F.when(F.get(keys, one) == string, F.get(values, one)).when(F.get(keys, two) == string, F.get(values, two))
+    value = lambda at: F.when(F.get(values, at) >= 0, F.array(F.get(values, at))).otherwise(F.get(tb["several"], -1 - F.get(values, at)))
+    return F.when(string == "", None).when(F.get(keys, one) == string, value(one)).when(F.get(keys, two) == string, value(two))
 
 
 def words_of(text: Column) -> Column:
@@ -235,23 +236,22 @@ def learned(docs: DataFrame, text: str, path: str) -> dict[str, list[int]]:
     WORDS come to the driver, however large the corpus. What stays out is folded where it
     stands, so a string's being here changes no ids.
     """
-    known, tables = dict(_words(path)), tables_of(path, _words(path))
+    known, folds = dict(_words(path)), tables_of(path, {})
     column = F.col(f"`{text}`")
 
     def top(counted: DataFrame, most: int) -> DataFrame:
         own = counted.filter((F.col("n") >= LEAST) & (F.octet_length("x") <= LONG))
         return own.orderBy(F.desc("n"), "x").limit(most)
 
-    def ids(strings: DataFrame) -> dict[str, list[int]]:
-        rows = strings.repartition("x").select("x", let(tables, lambda tb: F.coalesce(lookup(F.col("x"), tb), coded(F.col("x"), tb))).alias("e"))
-        return {r.x: r.e for r in rows.collect()}
-
     pieces = stow(docs.select(F.explode(pieces_of(column)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")))
-    frequent = stow(top(pieces, PIECES))
-    rest = pieces.join(frequent.select("x"), "x", "left_anti").select("n", F.explode(words_of(F.col("x"))).alias("x"))
-    unknown = rest.groupBy("x").agg(F.sum("n").alias("n")).filter(let(tables, lambda tb: lookup(F.col("x"), tb)).isNull())
-    known |= ids(top(unknown, WORDS)) | ids(frequent)
-    discard(pieces, frequent)
+    frequent = stow(top(pieces, PIECES).select("x"))
+    rest = pieces.join(frequent, "x", "left_anti").select("n", F.explode(words_of(F.col("x"))).alias("x"))
+    tokens = docs.sparkSession.createDataFrame([(w,) for w in known], "x string").hint("merge")
+    unknown = rest.groupBy("x").agg(F.sum("n").alias("n")).join(tokens, "x", "left_anti")
+    strings = stow(frequent.unionByName(top(unknown, WORDS).select("x")))
+    rows = strings.repartition("x").select("x", let(folds, lambda tb: coded(F.col("x"), tb)).alias("e"))
+    known |= {r.x: r.e for r in rows.collect()}
+    discard(pieces, frequent, strings)
     return known
 
 
