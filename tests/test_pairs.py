@@ -1,7 +1,9 @@
 """Candidate pairs of the scores against hand-made records."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgermesh.functions import scoring as S
 from ledgermesh.plans import personas as P
 
 RECORDS = """id string, clean string, name_tokens array<string>, first_token string, ein string, phone string, email string, domain string, state string,
@@ -26,3 +28,23 @@ def test_each_pair_once_without_shuffles_of_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1
+
+
+def test_whole_keys_keep_pairs_of_other_first_letters(spark):
+    """Names of one zip area whose first letters differ: a slip in the first letter is no reason to leave a pair out."""
+    v = spark.createDataFrame([record("1", "ACME PAINT", goods=["paint", "wire"], zip5="87501"), record("2", "XCME PAINT", zip5="87501")], RECORDS)
+    g = spark.createDataFrame([record("a", "ACME PAINT", goods=["wire", "paint"], zip5="87501"), record("b", "BCME PAINT", zip5="87502"), record("c", "CCME PAINT", goods=["wire"])], RECORDS)
+    c = P.compared(v, g, P.keys_of)
+    assert sorted((r.vid, r.gid) for r in c.collect()) == [("1", "a"), ("1", "b"), ("1", "c"), ("2", "a"), ("2", "b")]
+    best = {r.vid: r.gid for r in P.best(v, g, P.keys_of).collect()}
+    assert best == {"1": "a", "2": "a"}
+    assert "unnest(jk)" not in P.R.sql["e7_identity"] and "unnest(keys)" in P.R.sql["e7_identity"]
+
+
+def test_similarity_of_many_pairs_is_that_of_one(spark):
+    a = ["MARTHA", "DWAYNE", "", None, "BOB'S", "é A", "A" * 70, "ABAB CDCD" * 7, "AAB"]
+    b = ["MARHTA", "DUANE", "A", "A", "BOBS", "A", "A" * 69 + "B", "BABA DCDC" * 7, "ABA"]
+    want = [S.winkler(*("".join(x for x in (w or "").upper() if " " <= x <= "~") for w in p)) for p in zip(a, b)]
+    assert list(S.winklers(pa.array(a), pa.array(b))) == want
+    df = spark.createDataFrame(list(zip(a, b)), "a string, b string")
+    assert sorted(r.s for r in df.select(S.jaro_winkler("a", "b").alias("s")).collect()) == sorted(want)
