@@ -49,3 +49,17 @@ def test_similarity_of_many_pairs_is_that_of_one(spark):
     assert list(S.winklers(pa.array(a), pa.array(b))) == want
     df = spark.createDataFrame(list(zip(a, b)), "a string, b string")
     assert sorted(r.s for r in df.select(S.jaro_winkler("a", "b").alias("s")).collect()) == sorted(want)
+
+
+def merged(monkeypatch, spark, name):
+    """The rows of a query over a golden record and vendors whose names begin with other letters."""
+    v = spark.createDataFrame([record("1", "XCME PAINT", phone="5051112222", goods=["wire", "paint"], zip5="87501"), record("2", "ACME PAINT", goods=["oak", "paint", "wire"], zip5="87501")], RECORDS)
+    g = spark.createDataFrame([record("a", "ACME PAINT", goods=["paint"], zip5="87501")], RECORDS)
+    monkeypatch.setattr(P, "sides", lambda *_: (v, g))
+    monkeypatch.setattr(P, "golden_one", lambda *_: spark.createDataFrame([("a", 3, 0.6)], "golden_record_id string, source_count long, confidence double"))
+    assert "unnest(jk)" not in P.R.sql[name] and "unnest(keys)" in P.R.sql[name]
+    return sorted(tuple(r) for r in P.R.queries[name](spark, None).collect())
+
+
+def test_decisions_by_whole_keys(spark, monkeypatch):
+    assert merged(monkeypatch, spark, "r6_decide") == [("1", "MERGE", "a"), ("2", "MERGE", "a")]
