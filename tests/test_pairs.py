@@ -63,3 +63,7 @@ def merged(monkeypatch, spark, name):
 
 def test_decisions_by_whole_keys(spark, monkeypatch):
     assert merged(monkeypatch, spark, "r6_decide") == [("1", "MERGE", "a"), ("2", "MERGE", "a")]
+
+
+def test_merges_by_whole_keys(spark, monkeypatch):
+    assert merged(monkeypatch, spark, "r11_merge_into") == [("a", 2, 5, 1, 0.7)]
