@@ -67,3 +67,8 @@ def test_decisions_by_whole_keys(spark, monkeypatch):
 
 def test_merges_by_whole_keys(spark, monkeypatch):
     assert merged(monkeypatch, spark, "r11_merge_into") == [("a", 2, 5, 1, 0.7)]
+
+
+def test_survivors_by_whole_keys_with_keywords(spark, monkeypatch):
+    """Keywords of the merged records are appended in record order, each once; fields come from the first record that has them."""
+    assert merged(monkeypatch, spark, "r10_survivorship") == [("a", None, "5051112222", None, "NM", None, "87501", "875", None, "paint, wire, oak")]
